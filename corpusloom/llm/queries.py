@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, exact_dedup, mixing, simhash
+from corpusloom.llm import bpe, exact_dedup, mixing, quality_rules, secrets, simhash, url_rules
 
 QUERIES = {
+    "op1_secrets": secrets.query,
+    "op3_quality_rules": quality_rules.query,
     "op4_bpe": bpe.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_mixing": mixing.query,
     "op8_simhash": simhash.query,
+    "op10_url_rules": url_rules.query,
 }
 
 ORACLES = {
