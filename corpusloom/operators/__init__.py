@@ -1 +1 @@
-
+"""Operators on DataFrames: lines, chunks, enrichment, retrieval, evaluation, chat."""

@@ -1 +1 @@
-
+"""Query registry, its SQL, and the runner of stages."""

@@ -1 +1 @@
-
+"""Readers, writers, schemas and configuration."""
