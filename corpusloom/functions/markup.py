@@ -83,19 +83,24 @@ def drop_nested_citations(line: Column, max_depth: int = 6) -> Column:
     """
     a, z, o, c = "", "", "", ""  # private signs: tags of the nests' outside, and of blocks that stay
     out = F.replace(F.replace(F.coalesce(line, F.lit("")), F.lit(OPEN), F.lit(a)), F.lit(CLOSE), F.lit(z))
+    inner = rf"{a}([^{a}{z}]*){z}"
     for _ in range(max_depth):
-        inner = rf"{a}([^{a}{z}]*){z}"
 
         def settle(m: Column) -> Column:
             body = F.substring(m, 2, F.length(m) - 2)
             plain = normalize_whitespace(F.regexp_replace(body, f"[{o}{c}]", ""))
             return F.when(is_citation(plain), F.lit("")).otherwise(F.concat(F.lit(o), body, F.lit(c)))
 
-        out = _rewrite_nested(out, inner, settle, a, z)
+        out = _once(out, lambda t: _rewrite_nested(t, inner, settle, a, z))
     back = F.replace(F.replace(out, F.lit(a), F.lit(OPEN)), F.lit(z), F.lit(CLOSE))
     return squeeze_spaces(F.replace(F.replace(back, F.lit(o), F.lit(OPEN)), F.lit(c), F.lit(CLOSE)))
 
 
+def _once(value: Column, body) -> Column:
+    """body(value), with value computed once a row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _rewrite_nested(text: Column, inner: str, settle, a: str, z: str) -> Column:
     """settle() applied to the innermost blocks that have another block open around them."""
     found = F.regexp_extract_all(text, F.lit(inner), F.lit(0))
