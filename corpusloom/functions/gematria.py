@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from corpusloom.functions.text import LETTER, MARK
 
@@ -63,26 +59,39 @@ def words_of_number(n: int) -> str | None:
     return " ".join(parts)
 
 
-_ABBREVIATION = re.compile(f'[{LETTER}{MARK}]{{1,6}}"[{LETTER}{MARK}]{{1,3}}')
-_SPELLED = re.compile(f"([{LETTER}])([{MARK}]*)")
+ABBREVIATION = f'[{LETTER}{MARK}]{{1,6}}"[{LETTER}{MARK}]{{1,3}}'
+SPELLED = f"([{LETTER}])([{MARK}]*)"
+
+
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _expanded(match: re.Match) -> str:
+def _expanded(token: Column) -> Column:
     """The number in words, if the letters after a voweled prefix carry no marks and are a number from 2 to 99."""
-    token = match[0]
-    if re.sub(f"[{MARK}]", "", token) in NEVER_NUMBERS:
-        return token
-    letters = _SPELLED.findall(token)
-    k = next((i for i, (c, marks) in enumerate(letters) if not marks or c not in PREFIXES), len(letters))
-    core = "".join(c for c, _ in letters[k:])
-    values = [VALUES[c] for c in core]
-    falls = 1 <= len(values) <= 5 and all(values) and all(a > b for a, b in zip(values, values[1:]))
-    if any(c == "ו" and QAMATS in m for c, m in letters[:k]) or any(m for _, m in letters[k:]) or not falls or not 2 <= sum(values) <= 99:
-        return token
-    return "".join(c for c, _ in letters[:k]) + words_of_number(sum(values))
-
-
-@F.pandas_udf(StringType())
-def expand_numbers(text: pd.Series) -> pd.Series:
-    """Abbreviated numbers of a voweled text in words. Which abbreviations are numbers depends on their own marks, so this is a callback."""
-    return text.map(lambda t: None if t is None else _ABBREVIATION.sub(_expanded, t))
+    letters = F.zip_with(F.regexp_extract_all(token, F.lit(SPELLED), F.lit(1)), F.regexp_extract_all(token, F.lit(SPELLED), F.lit(2)), lambda c, m: F.struct(c.alias("c"), m.alias("m")))
+    text = lambda part: F.array_join(F.transform(part, lambda x: x["c"]), "")
+
+    def split(x: Column) -> Column:
+        is_prefix = lambda y: (y["m"] != "") & y["c"].isin(*PREFIXES)
+        k = F.size(F.filter(x, lambda _, i: F.forall(F.slice(x, F.lit(1), i + 1), is_prefix)))
+        return F.struct(F.slice(x, F.lit(1), k).alias("prefix"), F.slice(x, k + 1, F.size(x)).alias("core"))
+
+    def written(x: Column) -> Column:
+        noun = F.exists(x["prefix"], lambda y: (y["c"] == "ו") & y["m"].contains(QAMATS))
+        named = F.exists(x["core"], lambda y: y["m"] != "")
+        n = value(text(x["core"]))
+        return F.when(~noun & ~named & is_number(text(x["core"])) & n.between(2, 99), F.concat(text(x["prefix"]), number_words(n))).otherwise(token)
+
+    return F.when(F.regexp_replace(token, f"[{MARK}]", "").isin(*NEVER_NUMBERS), token).otherwise(_let(_let(letters, split), written))
+
+
+def expand_numbers(text: Column) -> Column:
+    """Abbreviated numbers of a voweled text in words; which abbreviations are numbers depends on their marks."""
+
+    def joined(x: Column) -> Column:
+        rest = F.transform(x["found"], lambda m, i: F.concat(_expanded(m), F.get(x["gaps"], i + 1)))
+        return F.concat(F.get(x["gaps"], F.lit(0)), F.array_join(rest, ""))
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(ABBREVIATION), F.lit(0)).alias("found"), F.split(text, ABBREVIATION, -1).alias("gaps"))
+    return F.when(text.rlike(ABBREVIATION), _let(both, joined)).otherwise(text)
