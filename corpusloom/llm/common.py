@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: One white-space character and a run of other characters, as the operators understand words.
@@ -60,3 +60,25 @@ def n_words(text: Column) -> Column:
 
 def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+#: Parts in which the rows of one key are numbered.
+SLOTS = 256
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """df with out: 1, 2, 3 … among the rows with equal keys, by a hash of the order columns and then these.
+
+    A key's rows are numbered in SLOTS parts, each after the sizes of the parts before it, so that a hot key is no one
+    task's. Keys may be null.
+    """
+    slotted = df.withColumn("__slot", F.pmod(F.xxhash64(*order), F.lit(SLOTS)))
+    sizes = slotted.groupBy(*keys, "__slot").agg(F.count("*").alias("__size"))
+    before = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__slot").alias("__of"), F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
+    within = F.row_number().over(Window.partitionBy(*keys, "__slot").orderBy(*order))
+    same = F.col("__slot") == F.col("__of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    met = slotted.withColumn("__within", within).join(offset, same)
+    return met.withColumn(out, F.col("__offset") + F.col("__within")).select(*df.columns, out)

@@ -109,14 +109,17 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share doc_id, source and size share their taken words equally. n_chars follows a cut text.
     """
     took = mix(docs).groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / F.count("*")).alias("taken")).where("taken > 0")
-    took = written(took, "taken").toDF("t_id", "t_source", "t_size", "taken_words")
-    sized = docs.withColumn("word_size", n_words(F.col("text")))
-    met = sized.join(took, F.col("doc_id").eqNullSafe(F.col("t_id")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("word_size") == F.col("t_size")))
-    times = F.filter(F.array(*(F.least(F.col("word_size"), F.col("taken_words") - k * F.col("word_size")) for k in range(MOST))), lambda x: x > 0)
-    cut = met.withColumn("part_words", F.explode(times))
-    text = F.when(F.col("part_words") < F.col("word_size"), first_words(F.col("text"), F.col("part_words"))).otherwise(F.col("text"))
-    chars = F.when(F.col("part_words") < F.col("word_size"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.select(*({"text": text, "n_chars": chars}.get(c, F.col(c)).alias(c) for c in docs.columns))
+    took = written(took, "taken").toDF("__id", "__source", "__size", "__taken")
+    sized = docs.withColumn("__words", n_words(F.col("text")))
+    met = sized.join(took, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
+    times = F.filter(F.array(*(F.least(F.col("__words"), F.col("__taken") - k * F.col("__words")) for k in range(MOST))), lambda x: x > 0)
+    cut = met.withColumn("__part", F.explode(times))
+    partly = F.col("__part") < F.col("__words")
+    text = F.when(partly, first_words(F.col("text"), F.col("__part"))).otherwise(F.col("text"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(partly, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 ORACLE = r"""

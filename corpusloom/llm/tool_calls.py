@@ -1,8 +1,7 @@
 """Tool-call linking: calls and results joined by identifier, ordered, validated and written as canonical JSON.
 
-Rows: a call without an identifier, or a result without one, links to nothing and is reported as such. Identifiers that
-repeat are links for each pair that has them (repeated rows repeat their links). Null or invalid arguments are reported, not
-dropped. Extra columns are ignored; an empty table gives an empty result.
+Rows: a call without an identifier, or a result without one, links to nothing and is reported as such. Repeated rows are
+calls or results of their own. Null or invalid arguments are reported, not dropped. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,11 +10,11 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import n_words, written
+from corpusloom.llm.common import n_words, numbered, written
 
 
 def canonical(value) -> str:
@@ -93,21 +92,24 @@ def levels(calls: DataFrame) -> DataFrame:
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """Calls (thread, call_id, needs, name, arguments) joined with results (call_id, content).
 
-    Returns thread, call_id, name, level, place (in topological order within the thread), status (linked, no_result,
-    no_call), fault and record: canonical JSON of the linked pair.
+    Returns thread, call_id, name, level, place, status (linked, no_result, no_call), fault and record: canonical JSON of
+    the linked pair. Within a thread, level and then place are a topological order. Of an identifier that repeats, the
+    n-th call meets the n-th result, so no identifier makes all pairs.
     """
     check = checker(schemas)
     checked = calls.withColumn("checked", check("name", "arguments")).select("thread", "call_id", "needs", "name", F.col("checked.fault").alias("fault"), F.col("checked.canonical").alias("arguments"))
     ordered = written(checked, "calls")
     level = levels(ordered).withColumnRenamed("call_id", "level_id")
-    answers = results.select(F.col("call_id").alias("answer_id"), F.col("content").alias("answer"), F.lit(True).alias("answered"))
-    met = ordered.join(level, F.col("call_id") == F.col("level_id"), "left").join(answers, F.col("call_id") == F.col("answer_id"), "full")
-    status = F.when(F.col("name").isNull() & F.col("answered"), F.lit("no_call")).when(F.col("answered"), F.lit("linked")).otherwise(F.lit("no_result"))
-    quoted = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'^\{"x":(.*)\}$', 1), F.lit(""))
+    asked = written(numbered(ordered, ["call_id"], ["call_id", "thread", "name", "arguments"], "nth"), "asked")
+    answers = written(numbered(results.select("call_id", "content"), ["call_id"], ["call_id", "content"], "nth"), "answers").toDF("answer_id", "answer", "answer_nth")
+    met = asked.join(answers, (F.col("call_id") == F.col("answer_id")) & (F.col("nth") == F.col("answer_nth")), "full")
+    placed = met.join(level, F.col("call_id") == F.col("level_id"), "left")
+    status = F.when(F.col("nth").isNull(), F.lit("no_call")).when(F.col("answer_nth").isNotNull(), F.lit("linked")).otherwise(F.lit("no_result"))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
     shown = lambda c: F.when(c.isNull(), F.lit("null")).otherwise(quoted(c))
     record = F.concat(F.lit('{"arguments":'), F.coalesce("arguments", F.lit("null")), F.lit(',"id":'), shown(F.coalesce("call_id", "answer_id")), F.lit(',"name":'), shown(F.col("name")), F.lit(',"result":'), shown(F.col("answer")), F.lit("}"))
-    order = Window.partitionBy("thread").orderBy(F.col("level").asc_nulls_last(), "call_id", "answer")
-    return met.select("thread", F.coalesce("call_id", "answer_id").alias("call_id"), "name", "level", status.alias("status"), "fault", record.alias("record"), "answer").withColumn("place", F.row_number().over(order)).drop("answer")
+    rows = placed.select("thread", F.coalesce("call_id", "answer_id").alias("call_id"), "name", "level", status.alias("status"), "fault", record.alias("record"))
+    return numbered(written(rows, "linked"), ["thread", "level"], ["call_id", "record"], "place")
 
 
 #: In the conversations, a turn that asks is a call of its speaker's tool, and the assistant's next turn is its result.
