@@ -217,7 +217,8 @@ def learn_from(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     if n > max_labelled:
         marked = marked.where(F.pmod(F.xxhash64("label_id"), F.lit(n)) < max_labelled)
     met = docs.select("doc_id", "text").join(F.broadcast(marked), F.col("doc_id") == F.col("label_id"))
-    counted = met.select("doc_id", "bad", statistics(F.col("text")).alias("s")).where(~base_failed(F.col("s")))
+    # Written before it is filtered: a filter on the statistics would be moved below the join, to all texts.
+    counted = written(met.select("doc_id", "bad", statistics(F.col("text")).alias("s")), "counted").where(~base_failed(F.col("s")))
     return learn(written(counted.select(features(F.col("s")).alias("x"), "bad", (crc_of_id(F.col("doc_id")) % 3 != 1).alias("grow")), "labelled"))
 
 
