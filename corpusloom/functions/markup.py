@@ -17,7 +17,7 @@ GLOSS = "הגה"
 
 def tokens(line: Column) -> Column:
     """The tags of a line and the texts between them, in order."""
-    return F.regexp_extract_all(line, F.lit(r"</?small>|(?:(?!</?small>)[\s\S])+"), F.lit(0))
+    return F.filter(F.split(line, f"(?={OPEN})|(?<={OPEN})|(?={CLOSE})|(?<={CLOSE})"), lambda t: t != "")
 
 
 def balanced(line: Column) -> Column:
