@@ -119,9 +119,9 @@ SELECT section, "window"::BIGINT AS "window", string_agg(word, ' ' ORDER BY pos)
     "encoding_text": rf"""WITH {PARAGRAPHS}, e AS (SELECT section, para_no, concat_ws(' ', 'Book, Siman ' || section || ', Seif ' || para_no || ':', text, gloss, regexp_extract(text_raw, '^([^.]*)', 1) || ' why?') AS encoding_text FROM p)
 SELECT *, len({WORDS('encoding_text')})::BIGINT AS word_count FROM e""",
     "passage_prefix": "SELECT item_id, 'passage: ' || coalesce(text, '') AS passage, 'query: ' || coalesce(text, '') AS question FROM benchmark",
-    "vector_normalize": f"WITH {HITS} SELECT vec_id, list_transform(v, lambda x: round(x, 5)) AS vector FROM u",
+    "vector_normalize": f"WITH {HITS} SELECT vec_id, list_transform(v, lambda x: round(x, 5) + 0::DOUBLE) AS vector FROM u",
     "embedding_integrity": "SELECT coalesce(doc_id, vec_id) AS chunk_id, CASE WHEN doc_id IS NULL THEN 'clean' ELSE 'raw' END AS side FROM documents FULL JOIN embeddings ON doc_id = vec_id WHERE doc_id IS NULL OR vec_id IS NULL",
-    "cosine_topk": f"WITH {HITS} SELECT q_id, rank, chunk_id, round(score, 4) AS score FROM hits",
+    "cosine_topk": f"WITH {HITS} SELECT q_id, rank, chunk_id, round(score, 4) + 0::DOUBLE AS score FROM hits",
     "score_threshold": f"WITH {HITS} SELECT q_id, rank, chunk_id FROM hits WHERE score >= 0.2",
     "unique_section_rank": f"WITH {HITS} SELECT q_id, section::BIGINT AS section, unique_rank FROM best",
     "ground_truth_rank": f"WITH {HITS} SELECT q_id, gt_rank FROM r",
