@@ -75,25 +75,49 @@ def split_gloss(line: Column) -> Column:
     return F.aggregate(depth_texts(line), start, step, finish)
 
 
-def drop_nested_citations(line: Column, max_depth: int = 6) -> Column:
-    """Without the blocks at depth 2 and below that are citations, inner ones first.
+def balance(line: Column) -> Column:
+    """Without closing tags that close nothing, and with those that are missing at the end."""
+    state = "struct<depth:int,out:string>"
+
+    def step(acc: Column, t: Column) -> Column:
+        stray = (t == CLOSE) & (acc["depth"] == 0)
+        depth = F.when(t == OPEN, acc["depth"] + 1).when((t == CLOSE) & ~stray, acc["depth"] - 1).otherwise(acc["depth"])
+        return F.struct(depth.alias("depth"), F.when(stray, acc["out"]).otherwise(F.concat(acc["out"], t)).alias("out")).cast(state)
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out")).cast(state)
+    return F.aggregate(tokens(F.coalesce(line, F.lit(""))), start, step, lambda acc: F.concat(acc["out"], F.repeat(F.lit(CLOSE), acc["depth"])))
+
+
+AUDIT = "array<struct<action:string,depth:int,content:string>>"
+
+
+def nested_citations(line: Column, max_depth: int = 6) -> Column:
+    """struct<line, audit>: without the blocks at depth 2 and below that are citations, inner ones first, and what became of each.
 
     Blocks are rewritten from the inside: each round marks the innermost blocks as done or takes them out. The outermost
-    block of a nest is never taken out. max_depth rounds treat nests of that depth; deeper ones stay as they are.
+    block of a nest is never taken out. max_depth rounds treat nests of that depth; deeper ones stay as they are. audit has
+    action (DROP or KEEP), depth and content of each block that was judged.
     """
-    a, z, o, c = "", "", "", ""  # private signs: tags of the nests' outside, and of blocks that stay
-    out = F.replace(F.replace(F.coalesce(line, F.lit("")), F.lit(OPEN), F.lit(a)), F.lit(CLOSE), F.lit(z))
+    a, z, o, c = "\ue001", "\ue002", "\ue003", "\ue004"  # private signs: tags of the nests' outside, and of blocks that stay
     inner = rf"{a}([^{a}{z}]*){z}"
+    marked = F.replace(F.replace(balance(line), F.lit(OPEN), F.lit(a)), F.lit(CLOSE), F.lit(z))
+
+    def content(m: Column) -> Column:
+        return normalize_whitespace(F.regexp_replace(m, f"[{a}{z}{o}{c}]", ""))
+
+    def settle(m: Column) -> Column:
+        return F.when(is_citation(content(m)), F.lit("")).otherwise(F.concat(F.lit(o), F.substring(m, 2, F.length(m) - 2), F.lit(c)))
+
+    out = F.struct(marked.alias("line"), F.array().cast(AUDIT).alias("audit"))
     for _ in range(max_depth):
+        out = _once(out, lambda s: _rewrite_nested(s, inner, settle, content, a, z))
+    back = lambda t: squeeze_spaces(F.regexp_replace(F.regexp_replace(t, f"[{a}{o}]", OPEN), f"[{z}{c}]", CLOSE))
+    return _once(out, lambda s: F.struct(back(s["line"]).alias("line"), s["audit"].alias("audit")))
 
-        def settle(m: Column) -> Column:
-            body = F.substring(m, 2, F.length(m) - 2)
-            plain = normalize_whitespace(F.regexp_replace(body, f"[{o}{c}]", ""))
-            return F.when(is_citation(plain), F.lit("")).otherwise(F.concat(F.lit(o), body, F.lit(c)))
 
-        out = _once(out, lambda t: _rewrite_nested(t, inner, settle, a, z))
-    back = F.replace(F.replace(out, F.lit(a), F.lit(OPEN)), F.lit(z), F.lit(CLOSE))
-    return squeeze_spaces(F.replace(F.replace(back, F.lit(o), F.lit(OPEN)), F.lit(c), F.lit(CLOSE)))
+def drop_nested_citations(line: Column, max_depth: int = 6) -> Column:
+    """Without the blocks at depth 2 and below that are citations."""
+    return nested_citations(line, max_depth)["line"]
 
 
 def _once(value: Column, body) -> Column:
@@ -101,20 +125,25 @@ def _once(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _rewrite_nested(text: Column, inner: str, settle, a: str, z: str) -> Column:
-    """settle() applied to the innermost blocks that have another block open around them."""
-    found = F.regexp_extract_all(text, F.lit(inner), F.lit(0))
-    gaps = F.split(text, inner, -1)
-    state = "struct<i:int,depth:int,out:string>"
+def _rewrite_nested(state: Column, inner: str, settle, content, a: str, z: str) -> Column:
+    """settle() applied to the innermost blocks that have another block open around them, and these blocks added to the audit."""
+    parts = F.struct(F.regexp_extract_all(state["line"], F.lit(inner), F.lit(0)).alias("found"), F.split(state["line"], inner, -1).alias("gaps"))
+    kind = f"struct<i:int,depth:int,line:string,audit:{AUDIT}>"
     depth_of = lambda s: F.length(F.regexp_replace(s, f"[^{a}]", "")) - F.length(F.regexp_replace(s, f"[^{z}]", ""))
 
-    def step(acc: Column, m: Column) -> Column:
-        gap = F.coalesce(F.get(gaps, acc["i"]), F.lit(""))
-        depth = F.greatest(acc["depth"] + depth_of(gap), F.lit(0))
-        return F.struct((acc["i"] + 1).alias("i"), depth.alias("depth"), F.concat(acc["out"], gap, F.when(depth >= 1, settle(m)).otherwise(m)).alias("out")).cast(state)
+    def folded(p: Column) -> Column:
+        gap = lambda i: F.coalesce(F.get(p["gaps"], i), F.lit(""))
+
+        def step(acc: Column, m: Column) -> Column:
+            depth = F.greatest(acc["depth"] + depth_of(gap(acc["i"])), F.lit(0))
+            one = F.struct(F.when(is_citation(content(m)), F.lit("DROP")).otherwise(F.lit("KEEP")).alias("action"), (depth + 1).alias("depth"), content(m).alias("content"))
+            audit = F.when(depth >= 1, F.array_append(acc["audit"], one)).otherwise(acc["audit"])
+            return F.struct((acc["i"] + 1).alias("i"), depth.alias("depth"), F.concat(acc["line"], gap(acc["i"]), F.when(depth >= 1, settle(m)).otherwise(m)).alias("line"), audit.alias("audit")).cast(kind)
+
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit("").alias("line"), state["audit"].alias("audit")).cast(kind)
+        return F.aggregate(p["found"], start, step, lambda acc: F.struct(F.concat(acc["line"], gap(acc["i"])).alias("line"), acc["audit"].alias("audit")))
 
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit("").alias("out")).cast(state)
-    return F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.coalesce(F.get(gaps, acc["i"]), F.lit(""))))
+    return _once(parts, folded)
 
 
 def keep_glosses(line: Column) -> Column:

@@ -72,9 +72,9 @@ def none_if_empty(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def join_fields(*fields: Column) -> Column:
-    """Fields joined by one space; null and empty ones are skipped; '' if there is none."""
-    return F.concat_ws(" ", *map(none_if_empty, fields))
+def join_fields(*fields: Column, separator: str = " ") -> Column:
+    """Fields joined by a separator; null and empty ones are skipped; '' if there is none."""
+    return F.concat_ws(separator, *map(none_if_empty, fields))
 
 
 def encoding_text(prefix: Column, text: Column, summary: Column, questions: Column) -> Column:

@@ -27,10 +27,13 @@ def unique_ranks(hits: DataFrame) -> DataFrame:
     return best.withColumn("unique_rank", F.row_number().over(Window.partitionBy("q_id").orderBy("best"))).select("q_id", "section", "unique_rank")
 
 
-def ground_truth_ranks(hits: DataFrame, truth: DataFrame, unique: bool = True) -> DataFrame:
-    """(q_id, gt_rank): the rank of the true section among sections, or of its first chunk; null if it was not found. truth: (q_id, section)."""
-    ranked = unique_ranks(hits) if unique else hits.select("q_id", "section", F.col("rank").alias("unique_rank"))
-    found = ranked.join(truth, ["q_id", "section"]).groupBy("q_id").agg(F.min("unique_rank").alias("gt_rank"))
+def ground_truth_ranks(hits: DataFrame, truth: DataFrame, unique: bool = True, by: tuple[str, ...] = ("section",)) -> DataFrame:
+    """(q_id, gt_rank): the rank of the true section among sections, or (not unique) of the first chunk that agrees in all columns of by.
+
+    Null if it was not found. truth: q_id and the columns of by.
+    """
+    ranked = unique_ranks(hits) if unique else hits.select("q_id", *by, F.col("rank").alias("unique_rank"))
+    found = ranked.join(truth, ["q_id", *(("section",) if unique else by)]).groupBy("q_id").agg(F.min("unique_rank").alias("gt_rank"))
     return truth.select("q_id").join(found, "q_id", "left")
 
 
@@ -92,6 +95,7 @@ class RetrievalEvaluator:
         recall = {str(r["k"]): r["recall"] for r in rows}
         return {
             "evaluator": self.name,
+            "timestamp": began.strftime("%Y%m%d_%H%M%S"),
             "granularity": "section" if self.unique else "chunk",
             "metrics": {"recall_at": {str(r["k"]): r["hits"] for r in rows}, "recall_rate": recall, "mrr": score["mrr"], "n_total": score["n"]},
             "n_questions": score["n"],

@@ -93,6 +93,12 @@ SELECT doc_id, {STRIP("regexp_replace(t, '  +', ' ', 'g')")} AS text FROM c""",
     "gematria_valid": f"""WITH a AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN reverse({NUMERAL('p_partkey % 500')}) ELSE {NUMERAL('p_partkey % 500')} END AS letters, p_size % 2 = 0 AS turned FROM part)
 SELECT p_partkey, letters, length(letters) BETWEEN 1 AND 5 AND (NOT turned OR length(letters) = 1) AS valid FROM a""",
     "number_words": f"SELECT p_partkey, p_partkey % 1001 AS n, {number_words('p_partkey % 1001')} AS words FROM part",
+    "expand_numerals": f"""WITH a AS (SELECT p_partkey, p_partkey % 120 AS n, {NUMERAL('p_partkey % 120')} AS letters FROM part)
+SELECT p_partkey, 'דף ' || CASE WHEN length(letters) = 2 AND n BETWEEN 2 AND 99 AND n <> 72 THEN {number_words('n')} ELSE regexp_replace(letters, '(.)$', '"\\1') END || ' סוף' AS text FROM a""",
+    "tag_depth_text": f"""WITH {LINES}, c AS (SELECT doc_id, line_no, unnest(string_split(line, '')) AS ch, generate_subscripts(string_split(line, ''), 1) AS i FROM l),
+w AS (SELECT *, sum(CASE ch WHEN '.' THEN 1 WHEN ',' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id, line_no ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM c),
+d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY doc_id, line_no ORDER BY i ROWS UNBOUNDED PRECEDING)) AS depth FROM w)
+SELECT doc_id, depth::BIGINT AS depth, count(*) AS chars FROM d WHERE ch NOT IN ('.', ',', '') GROUP BY doc_id, depth""",
     "source_reference_parse": f"""WITH a AS (SELECT p_partkey, p_partkey % 499 + 1 AS n, p_size AS p, p_partkey % 4 AS kind FROM part)
 SELECT p_partkey, CASE kind WHEN 0 THEN '(' || n || ', ' || p || ')' WHEN 1 THEN 'סימן ' || n WHEN 2 THEN 'סימן ' || {NUMERAL('n')} || ', סעיף ' || {NUMERAL('p')}
   ELSE regexp_replace({NUMERAL('n')}, '(.)$', '״\\1') || ', סעיף ' || {NUMERAL('p')} || '׳' END AS reference,

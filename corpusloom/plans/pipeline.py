@@ -1,6 +1,8 @@
 """Runners: corpus build, and an experiment whose stages are built where missing.
 
     python -m corpusloom.plans.pipeline build LINES HEADINGS OUT
+    python -m corpusloom.plans.pipeline chunk CORPUS OUT [--mode MODE]
+    python -m corpusloom.plans.pipeline embed CHUNKS OUT
     python -m corpusloom.plans.pipeline run CONFIG MODE [--force] [--max-questions N]
 """
 
@@ -87,6 +89,13 @@ def main(argv: list[str] | None = None) -> int:
     build = commands.add_parser("build")
     for name in ("lines", "headings", "out"):
         build.add_argument(name)
+    cut = commands.add_parser("chunk")
+    cut.add_argument("corpus")
+    cut.add_argument("out")
+    cut.add_argument("--mode", default="paragraph")
+    embed = commands.add_parser("embed")
+    embed.add_argument("chunks")
+    embed.add_argument("out")
     run = commands.add_parser("run")
     run.add_argument("config")
     run.add_argument("mode")
@@ -99,6 +108,10 @@ def main(argv: list[str] | None = None) -> int:
         built = build_corpus(raw)
         check_aligned(L.sections(L.basic_fixes(raw)), built, ("doc", "section_ord", "para_no"))
         write_table(enriched(built, read_headings(spark, args.headings)), args.out)
+    elif args.command == "chunk":
+        write_table(numbered(chunk(spark.read.parquet(args.corpus), args.mode), "section", "label"), args.out)
+    elif args.command == "embed":
+        write_table(HashingEncoder().encode(spark.read.parquet(args.chunks), "chunk_id", "text", PASSAGE), args.out)
     else:
         print(run_experiment(spark, load(args.config), args.mode, force=args.force, max_questions=args.max_questions)[1])
     return 0

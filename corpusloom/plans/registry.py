@@ -174,6 +174,14 @@ def nested_citations(spark, sf_dir):
     return lines(spark, sf_dir).withColumn("x", kept).select(F.col("doc").alias("doc_id"), "line_no", F.col("x.line").alias("line"), F.col("x.dropped").cast("long").alias("dropped"))
 
 
+@query
+def citation_audit(spark, sf_dir):
+    """How many blocks below depth 1 are dropped and kept, by depth."""
+    nested = F.replace(F.replace(marked(F.col("line")), F.lit(" and "), F.lit(" <small>(")), F.lit(" to "), F.lit(") </small>"))
+    found = lines(spark, sf_dir).select(F.inline(markup.nested_citations(nested)["audit"]))
+    return found.groupBy("action", F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("blocks"))
+
+
 @query
 def tag_depth_text(spark, sf_dir):
     """Characters of each document at each depth of small marks."""

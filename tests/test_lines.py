@@ -63,7 +63,12 @@ def test_citations(spark):
     for text, want in keep.items():
         assert one(spark, text, markup.is_citation) is want, text
     line = "א <small>ב <small>(ג)</small> ד <small>ה</small></small> <small>(ו)</small>"
-    assert one(spark, line, markup.drop_nested_citations) == "א <small>ב ד <small>ה</small></small> <small>(ו)</small>"
+    got = one(spark, line, markup.nested_citations)
+    assert got["line"] == "א <small>ב ד <small>ה</small></small> <small>(ו)</small>"
+    assert [tuple(x) for x in got["audit"]] == [("DROP", 2, "(ג)"), ("KEEP", 2, "ה")]
+    assert one(spark, "א</small><small>ב<small>ג", markup.drop_nested_citations) == "א<small>ב<small>ג</small></small>"
+    deep = one(spark, "<small>א<small>ב<small>(ג)</small></small></small>", markup.nested_citations)
+    assert deep["line"] == "<small>א<small>ב</small></small>" and [x["depth"] for x in deep["audit"]] == [3, 2]
 
 
 def test_only_glosses_stay(spark):

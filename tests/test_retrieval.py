@@ -55,6 +55,8 @@ def test_metrics(spark):
     assert unique == {1: 2, 2: None, 3: 1, 4: None}
     chunks = {r["q_id"]: r["gt_rank"] for r in evaluation.ground_truth_ranks(hits, truth, unique=False).collect()}
     assert chunks == {1: 3, 2: None, 3: 1, 4: None}
+    finer = evaluation.ground_truth_ranks(hits.withColumn("paragraph", F.col("rank")), truth.withColumn("paragraph", F.lit(1)), unique=False, by=("section", "paragraph"))
+    assert {r["q_id"]: r["gt_rank"] for r in finer.collect()} == {1: None, 2: None, 3: 1, 4: None}
     ranks = evaluation.ground_truth_ranks(hits, truth)
     assert {r["k"]: (r["hits"], r["recall"]) for r in evaluation.recall_at(ranks, [1, 2, 2]).collect()} == {1: (1, 0.25), 2: (2, 0.5)}
     assert tuple(evaluation.mrr(ranks).first()) == (4, 0.375)
