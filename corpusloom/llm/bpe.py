@@ -20,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a Python worker remembers, and the longest such word.
-CACHE_WORDS = 150_000
+#: Words in each of two generations that a Python worker remembers, and the longest such word.
+CACHE_WORDS = 250_000
 CACHE_CHARS = 48
 
+#: Symbols of a fragment that is merged by list, and the mark of a pair that is never merged.
+SHORT = 48
+NEVER = (1 << 30, -1)
+
 #: Below this code point normal form C changes nothing and every Unicode version agrees on letters and digits.
 PLAIN_END = 0x300
 
@@ -50,16 +54,17 @@ def _plain_pattern() -> re.Pattern:
 
 
 class Words(dict):
-    """word -> (ids as text, tokens as text, number of tokens), filled on demand and emptied when full."""
+    """word -> (ids as text, tokens as text, number of tokens), filled on demand; a full one becomes the old generation."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word: str):
-        entry = self.encode(word)
+        entry = self.old.get(word) or self.encode(word)
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = entry
         return entry
@@ -106,7 +111,25 @@ class ForcedBoundaryBPE:
         signs = [self.signs[b] for b in raw]
         if last:
             signs[-1] += self.end
-        ids: list[int] = [self.vocab[s] for s in signs]
+        ids = [self.vocab[s] for s in signs]
+        return self._merged(ids) if len(ids) <= SHORT else self._merged_long(ids)
+
+    def _merged(self, ids: list[int]) -> list[int]:
+        """Merges of a short fragment: the least rank is looked for in a list."""
+        merges = self.merges
+        ranks = [merges.get(pair, NEVER) for pair in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) is not NEVER:
+            i = ranks.index(best)
+            ids[i : i + 2] = [best[1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = merges.get((ids[i - 1], ids[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = merges.get((ids[i], ids[i + 1]), NEVER)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """Merges of a long fragment: a heap holds the pairs by rank and place, and stale ones are passed over."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
