@@ -154,10 +154,19 @@ def learn(rows: DataFrame) -> list[Rule]:
     """A decision list from rows (x: array of FEATURES, bad: boolean, grow: boolean); bad rows are what it covers."""
     width = len(FEATURES)
     shares = [k / CUTS for k in range(1, CUTS)]
-    counted = rows.agg(F.count("*"), *(F.percentile_approx(F.element_at("x", k + 1), shares, 1000) for k in range(width))).first()
+    value = lambda k: F.element_at("x", k + 1)
+    of_all = [F.percentile_approx(value(k), shares, 1000) for k in range(width)]
+    of_bad = [F.percentile_approx(F.when(F.col("bad"), value(k)), shares, 1000) for k in range(width)]
+    counted = rows.agg(F.count("*"), *of_all, *of_bad).first()
     if not counted[0]:
         return []
-    cuts = [sorted(set(counted[k + 1])) for k in range(width)]
+
+    def thresholds(k: int) -> list[float]:
+        """Quantiles of all rows and of bad rows, and the middles between neighbours: a gap is cut in its middle."""
+        found = sorted({*counted[k + 1], *(counted[k + 1 + width] or [])})
+        return sorted({*found, *((a + b) / 2 for a, b in zip(found, found[1:]))})
+
+    cuts = [thresholds(k) for k in range(width)]
 
     def by_bin(where: Column) -> list[list[list[int]]]:
         """[feature][bin] -> [good, bad] of the growing rows that hold."""
