@@ -78,14 +78,18 @@ def levels(calls: DataFrame) -> DataFrame:
     of rounds; a pointer that still leads somewhere after more steps than there are calls runs in a circle.
     """
     known = calls.groupBy("call_id").agg(F.min("needs").alias("needs")).where("call_id is not null")
-    at = known.join(known.select(F.col("call_id").alias("k")), F.col("needs") == F.col("k"), "left").select("call_id", F.col("k").alias("to"), F.when(F.col("k").isNull(), 0).otherwise(1).cast("long").alias("level"))
+    # Rows that point nowhere stay out of the joins, where their null keys would meet in one task.
+    ended = known.where("needs is null").select("call_id", F.lit(None).cast(known.schema["call_id"].dataType).alias("to"), F.lit(0).cast("long").alias("level"))
+    pointing = known.where("needs is not null").join(known.select(F.col("call_id").alias("k")), F.col("needs") == F.col("k"), "left")
+    at = pointing.select("call_id", F.col("k").alias("to"), F.when(F.col("k").isNull(), 0).otherwise(1).cast("long").alias("level")).union(ended)
     n, span = known.count(), 1
     while span < 2 * n:
         at, span = written(at, "levels"), 2 * span
         if at.where("to is not null").isEmpty():
             break
         far = at.select(F.col("call_id").alias("f"), F.col("to").alias("f_to"), F.col("level").alias("f_level"))
-        at = at.join(far, F.col("to") == F.col("f"), "left").select("call_id", F.col("f_to").alias("to"), (F.col("level") + F.coalesce("f_level", F.lit(0))).alias("level"))
+        moved = at.where("to is not null").join(far, F.col("to") == F.col("f")).select("call_id", F.col("f_to").alias("to"), (F.col("level") + F.col("f_level")).alias("level"))
+        at = moved.union(at.where("to is null"))
     return at.select("call_id", F.when(F.col("to").isNull(), F.col("level")).alias("level"))
 
 
