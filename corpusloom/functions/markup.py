@@ -91,33 +91,43 @@ def balance(line: Column) -> Column:
 AUDIT = "array<struct<action:string,depth:int,content:string>>"
 
 
-def nested_citations(line: Column, max_depth: int = 6) -> Column:
+def nested_citations(line: Column) -> Column:
     """struct<line, audit>: without the blocks at depth 2 and below that are citations, inner ones first, and what became of each.
 
-    Blocks are rewritten from the inside: each round marks the innermost blocks as done or takes them out. The outermost
-    block of a nest is never taken out. max_depth rounds treat nests of that depth; deeper ones stay as they are. audit has
-    action (DROP or KEEP), depth and content of each block that was judged.
+    The tokens are folded once with a stack of the texts of the open blocks, so a nest may have any depth. A block is judged
+    at its closing tag, by what is left of it, and goes to the block around it or out. The outermost block of a nest is never
+    taken out. audit has action (DROP or KEEP), depth and content of each block that was judged, in the order of closing tags.
     """
-    a, z, o, c = "\ue001", "\ue002", "\ue003", "\ue004"  # private signs: tags of the nests' outside, and of blocks that stay
-    inner = rf"{a}([^{a}{z}]*){z}"
-    marked = F.replace(F.replace(balance(line), F.lit(OPEN), F.lit(a)), F.lit(CLOSE), F.lit(z))
+    state = f"struct<stack:array<string>,audit:{AUDIT}>"
 
-    def content(m: Column) -> Column:
-        return normalize_whitespace(F.regexp_replace(m, f"[{a}{z}{o}{c}]", ""))
+    def to(stack: Column, text: Column) -> Column:
+        """The stack with text at the end of its last element."""
+        return F.array_append(F.slice(stack, 1, F.size(stack) - 1), F.concat(F.element_at(stack, -1), text))
 
-    def settle(m: Column) -> Column:
-        return F.when(is_citation(content(m)), F.lit("")).otherwise(F.concat(F.lit(o), F.substring(m, 2, F.length(m) - 2), F.lit(c)))
+    def settle(acc: Column, inner: Column, around: Column) -> Column:
+        def judged(x: Column) -> Column:
+            one = F.struct(F.when(x["drop"], F.lit("DROP")).otherwise(F.lit("KEEP")).alias("action"), F.size(around).alias("depth"), x["content"].alias("content"))
+            return F.struct(F.when(x["drop"], around).otherwise(to(around, kept)).alias("stack"), F.array_append(acc["audit"], one).alias("audit")).cast(state)
 
-    out = F.struct(marked.alias("line"), F.array().cast(AUDIT).alias("audit"))
-    for _ in range(max_depth):
-        out = _once(out, lambda s: _rewrite_nested(s, inner, settle, content, a, z))
-    back = lambda t: squeeze_spaces(F.regexp_replace(F.regexp_replace(t, f"[{a}{o}]", OPEN), f"[{z}{c}]", CLOSE))
-    return _once(out, lambda s: F.struct(back(s["line"]).alias("line"), s["audit"].alias("audit")))
+        kept = F.concat(F.lit(OPEN), inner, F.lit(CLOSE))
+        content = normalize_whitespace(F.regexp_replace(inner, "</?small>", ""))
+        verdict = _once(content, lambda c: F.struct(c.alias("content"), is_citation(c).alias("drop")))
+        outermost = F.struct(to(around, kept).alias("stack"), acc["audit"].alias("audit")).cast(state)
+        return F.when(F.size(around) == 1, outermost).otherwise(_once(verdict, judged))
+
+    def step(acc: Column, t: Column) -> Column:
+        opened = F.struct(F.array_append(acc["stack"], F.lit("")).alias("stack"), acc["audit"].alias("audit")).cast(state)
+        grown = F.struct(to(acc["stack"], t).alias("stack"), acc["audit"].alias("audit")).cast(state)
+        closed = _once(F.slice(acc["stack"], 1, F.size(acc["stack"]) - 1), lambda around: settle(acc, F.element_at(acc["stack"], -1), around))
+        return F.when(t == OPEN, opened).when(t == CLOSE, closed).otherwise(grown)
+
+    start = F.struct(F.array(F.lit("")).alias("stack"), F.array().cast(AUDIT).alias("audit")).cast(state)
+    return F.aggregate(tokens(balance(line)), start, step, lambda acc: F.struct(squeeze_spaces(F.get(acc["stack"], F.lit(0))).alias("line"), acc["audit"].alias("audit")))
 
 
-def drop_nested_citations(line: Column, max_depth: int = 6) -> Column:
+def drop_nested_citations(line: Column) -> Column:
     """Without the blocks at depth 2 and below that are citations."""
-    return nested_citations(line, max_depth)["line"]
+    return nested_citations(line)["line"]
 
 
 def _once(value: Column, body) -> Column:
@@ -125,27 +135,6 @@ def _once(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _rewrite_nested(state: Column, inner: str, settle, content, a: str, z: str) -> Column:
-    """settle() applied to the innermost blocks that have another block open around them, and these blocks added to the audit."""
-    parts = F.struct(F.regexp_extract_all(state["line"], F.lit(inner), F.lit(0)).alias("found"), F.split(state["line"], inner, -1).alias("gaps"))
-    kind = f"struct<i:int,depth:int,line:string,audit:{AUDIT}>"
-    depth_of = lambda s: F.length(F.regexp_replace(s, f"[^{a}]", "")) - F.length(F.regexp_replace(s, f"[^{z}]", ""))
-
-    def folded(p: Column) -> Column:
-        gap = lambda i: F.coalesce(F.get(p["gaps"], i), F.lit(""))
-
-        def step(acc: Column, m: Column) -> Column:
-            depth = F.greatest(acc["depth"] + depth_of(gap(acc["i"])), F.lit(0))
-            one = F.struct(F.when(is_citation(content(m)), F.lit("DROP")).otherwise(F.lit("KEEP")).alias("action"), (depth + 1).alias("depth"), content(m).alias("content"))
-            audit = F.when(depth >= 1, F.array_append(acc["audit"], one)).otherwise(acc["audit"])
-            return F.struct((acc["i"] + 1).alias("i"), depth.alias("depth"), F.concat(acc["line"], gap(acc["i"]), F.when(depth >= 1, settle(m)).otherwise(m)).alias("line"), audit.alias("audit")).cast(kind)
-
-        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit("").alias("line"), state["audit"].alias("audit")).cast(kind)
-        return F.aggregate(p["found"], start, step, lambda acc: F.struct(F.concat(acc["line"], gap(acc["i"])).alias("line"), acc["audit"].alias("audit")))
-
-    return _once(parts, folded)
-
-
 def keep_glosses(line: Column) -> Column:
     """struct<line, dropped>: without the blocks at depth 1 that are neither glosses nor continue one, and how many went."""
     state = "struct<depth:int,open:boolean,out:string,block:string,dropped:int>"

@@ -1,5 +1,8 @@
 """Lines, marks, chunks, nesting."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +74,60 @@ def test_citations(spark):
     assert deep["line"] == "<small>א<small>ב</small></small>" and [x["depth"] for x in deep["audit"]] == [3, 2]
 
 
+def settled(line):
+    """Line and audit by recursion over the tree of a line's blocks."""
+    root = []
+    stack = [root]
+    for t in re.split("(<small>|</small>)", line):
+        if t == "<small>":
+            stack[-1].append(block := [])
+            stack.append(block)
+        elif t == "</small>":
+            if len(stack) > 1:
+                stack.pop()
+        else:
+            stack[-1].append(t)
+    audit = []
+
+    def citation(s):
+        if not s:
+            return True
+        if re.match(r"\(\s*(פי'|פירוש)\s*", s):
+            return False
+        return bool(len(s) <= 2 and not re.search("[א-ת]", s) or re.search("[()]", s))
+
+    def rendered(node, depth):
+        out = ""
+        for x in node:
+            if isinstance(x, str):
+                out += x
+                continue
+            inner = rendered(x, depth + 1)
+            content = " ".join(re.sub("</?small>", "", inner).split())
+            if depth >= 2:
+                audit.append(("DROP" if citation(content) else "KEEP", depth, content))
+                if audit[-1][0] == "DROP":
+                    continue
+            out += f"<small>{inner}</small>"
+        return out
+
+    return re.sub("  +", " ", rendered(root, 1)), audit
+
+
+def test_citations_at_any_depth(spark):
+    rng = random.Random(5)
+    pieces = ["<small>"] * 5 + ["</small>"] * 4 + ["א ", "מלים  ", "(ב)", " ", ".", "(פי' כך", "abc"]
+    drawn = ["".join(rng.choices(pieces, k=rng.randint(1, 200))) for _ in range(60)]
+    nests = [f"{'<small>א' * n}<small>(ב){'</small>' * (n + 1)}" for n in (1, 6, 7, 8, 51, 200)]
+    nests += [f"{'<small>א' * 20}<small>(ב)</small>{'<small>' * 9}(ג)", "x<small>" * 12 + "</small>" * 20 + "y", "a\ue001b<small>\ue003<small>c\ue002</small></small>"]
+    lines = [*drawn, *nests]
+    table = spark.createDataFrame(list(enumerate(lines)), "i int, a string")
+    rows = table.select("i", markup.nested_citations(F.col("a")).alias("x")).orderBy("i").collect()
+    for line, r in zip(lines, rows, strict=True):
+        assert (r["x"]["line"], [tuple(b) for b in r["x"]["audit"]]) == settled(line), line
+    assert max(depth for r in rows for _, depth, _ in r["x"]["audit"]) == 201
+
+
 def test_only_glosses_stay(spark):
     line = "א <small>הערה</small> <small>הגה: ב</small><small>עוד</small> ג <small>סוף</small>"
     got = one(spark, line, markup.keep_glosses)
