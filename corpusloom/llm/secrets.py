@@ -37,13 +37,22 @@ COLLISIONS, COLLISION_WEIGHT = 0.066, 10_000.0
 CHANGES, CHANGE_WEIGHT = 0.02, 1_000.0
 #: Steps of -ln(chance) in which candidates are ranked.
 STEP, STEPS = 0.05, 20_000
+#: A run is tested against the smallest alphabet that holds it, as an even draw stays even among the symbols that it uses.
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ALPHABETS = {
-    "hex": "0123456789abcdef",
-    "HEX": "0123456789ABCDEF",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
-    "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "decimal": DIGITS,
+    "hex": DIGITS + LOWER[:6],
+    "HEX": DIGITS + UPPER[:6],
+    "lower": LOWER,
+    "upper": UPPER,
+    "base32lower": LOWER + DIGITS[2:8],
+    "base32": UPPER + DIGITS[2:8],
+    "base36lower": DIGITS + LOWER,
+    "base36": DIGITS + UPPER,
+    "letters": UPPER + LOWER,
+    "base62": UPPER + LOWER + DIGITS,
+    "base64": UPPER + LOWER + DIGITS + "+/",
+    "base64url": UPPER + LOWER + DIGITS + "-_",
 }
 
 
@@ -104,11 +113,18 @@ def shown(spans: Column) -> Column:
 
 def encoding(token: Column) -> Column:
     return (
-        F.when(token.rlike("^[0-9a-f]+$"), F.lit("hex"))
+        F.when(token.rlike("[-_]"), F.lit("base64url"))
+        .when(token.rlike("[+/]"), F.lit("base64"))
+        .when(token.rlike("^[0-9]+$"), F.lit("decimal"))
+        .when(token.rlike("^[0-9a-f]+$"), F.lit("hex"))
         .when(token.rlike("^[0-9A-F]+$"), F.lit("HEX"))
+        .when(token.rlike("^[a-z]+$"), F.lit("lower"))
+        .when(token.rlike("^[A-Z]+$"), F.lit("upper"))
+        .when(token.rlike("^[a-z2-7]+$"), F.lit("base32lower"))
         .when(token.rlike("^[A-Z2-7]+$"), F.lit("base32"))
-        .when(token.rlike("[-_]"), F.lit("base64url"))
-        .when(token.rlike("[+/]"), F.lit("base64"))
+        .when(token.rlike("^[0-9a-z]+$"), F.lit("base36lower"))
+        .when(token.rlike("^[0-9A-Z]+$"), F.lit("base36"))
+        .when(token.rlike("^[A-Za-z]+$"), F.lit("letters"))
         .otherwise(F.lit("base62"))
     )
 

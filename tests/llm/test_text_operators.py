@@ -3,7 +3,7 @@
 import hashlib
 import json
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -55,6 +55,22 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert [(r["start"], r["end"]) for r in rows[0]["added"]] == [(4, 44)]
 
 
+def test_random_keys_of_every_alphabet(spark):
+    rng = np.random.default_rng(11)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    upper = lower.upper()
+    alphabets = [digits + "ABCDEF", lower + "234567", upper + "234567", digits + lower, digits + upper, upper + lower, upper + lower + digits, upper + lower + digits + "+/", upper + lower + digits + "-_"]
+    one_class = [digits, lower, upper]
+    keys = [(a, n, "".join(rng.choice(list(a), n))) for a in [*alphabets, *one_class] for n in (24, 32, 40, 64, 128) for _ in range(20)]
+    rows = secrets.scan(docs(spark, [f"see {k} here" for _, _, k in keys])).orderBy("doc_id").collect()
+    found = defaultdict(list)
+    for (a, n, _), r in zip(keys, rows, strict=True):
+        found[a, n].append(bool(r["added"] or r["base"]))  # digits alone are a fixed pattern, hex
+    for (a, n), hits in found.items():
+        if a not in one_class or n == 128:
+            assert sum(hits) >= 18, (a, n, sum(hits))
+
+
 def test_secret_scan_of_nothing(spark):
     assert secrets.scan(docs(spark, ["x"]).limit(0)).count() == 0
     assert secrets.least_step({10: 1}, 1, 0.01) == secrets.STEPS + 1 and secrets.least_step({400: 1, 0: 9}, 10, 0.01) == 400
