@@ -221,3 +221,10 @@ def test_mined_rules(spark):
     assert json.dumps(got[9000]["mined"])
     tokens = pages.where("page_id = 5").select(F.explode(url_rules.tokens(F.col("url"))).alias("t")).collect()
     assert {r["t"] for r in tokens} == {"scheme=http", "host=good", "host=site5", "host=org", "domain=site5.org", "path=page", "path=#"}
+
+
+def test_rules_are_mined_whatever_the_share_of_bad_labels(spark):
+    mined = lambda rows: {tuple(r["antecedent"]): r["confidence"] for r in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()}
+    assert mined([(["host=spam"], True)] * 160 + [(["host=good"], False)] * 40) == {("host=spam",): 1.0}
+    mixed = [(["host=a"], i < 62) for i in range(100)] + [(["host=b"], i < 28) for i in range(100)]
+    assert mined(mixed) == {("host=a",): 0.62}
