@@ -23,9 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only in local mode, where there is one machine, may it be unset; then a temporary folder is used.
+    """
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not set_to:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         own = getattr(shared_dir, "own", None)
         if own is None:
             own = shared_dir.own = tempfile.mkdtemp(prefix="corpusloom-")
@@ -82,3 +87,37 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> Data
         same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
     met = slotted.withColumn("__within", within).join(offset, same)
     return met.withColumn(out, F.col("__offset") + F.col("__within")).select(*df.columns, out)
+
+
+#: A group that holds over one in HOT_SHARE of all rows is hot; so fewer than HOT_SHARE groups are.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined with groups, one row for each key with its size in rows, of total rows at most; the only shared column is key.
+
+    Hot groups are broadcast, fewer than HOT_SHARE of them whatever the tables hold; all others meet their rows in a shuffle
+    in which no key has more than total / HOT_SHARE rows.
+    """
+    hot = F.broadcast(groups.where(F.col(size) * HOT_SHARE > total))
+    cold = groups.where(F.col(size) * HOT_SHARE <= total)
+    met = rows.join(hot, key)
+    return met.unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+#: The column by which one_of_each tells rows apart.
+ROW_KEY = "__row_key"
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """16 bytes that tell documents apart: by doc_id and by text (or its digest). Null is an id of its own; null texts count as empty."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(" "), F.coalesce(text, F.lit("")))))
+
+
+def one_of_each(docs: DataFrame, text: Column, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose key is in kept (ROW_KEY); of rows with one key, one of them.
+
+    Rows with one key are thinned out before the shuffle, so no key brings many rows to a task; the join reuses its order.
+    """
+    thinned = docs.withColumn(ROW_KEY, row_key(F.col("doc_id"), text)).dropDuplicates([ROW_KEY])
+    return thinned.join(kept.select(ROW_KEY), ROW_KEY, "left_semi").select(*(f"`{c}`" for c in docs.columns))

@@ -1,8 +1,10 @@
 """Exact dedup against a minimal perfect hash over the distinct digests seen so far.
 
 Texts are equal when identical after each run of the six ASCII space characters is replaced by one space; null counts as
-empty. Of equal texts the row with the smallest doc_id stays. Rows that repeat both doc_id and text are one document and
-share one verdict. A null doc_id sorts after all others: such a row stays only if its group has no doc_id at all.
+empty, so null and empty texts are copies of one another. Of equal texts one row stays: that with the smallest doc_id, where
+null sorts after all others; of rows that share that doc_id too, one of them. Texts are read whole, whatever their length.
+Columns other than doc_id and text are carried along by the stage, whatever their names, and ignored otherwise; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACE, written
+from corpusloom.llm.common import ROW_KEY, SPACE, join_groups, one_of_each, row_key, written
 
 #: Digests in one bucket of the hash, about: what one task holds at once is a few buckets of 48 bytes a digest.
 BUCKET_ROWS = 4096
@@ -20,21 +22,37 @@ BUCKET_ROWS = 4096
 SLACK = 2.0
 DIGEST = 32
 
-INDEX_SCHEMA = "bucket long, n long, levels array<binary>, digests binary, winners binary, sizes binary"
+#: Parts in which the rows of one digest are summed before they are looked up: at most so many keys for a hot digest.
+PARTS = 32
+
+INDEX_SCHEMA = "bucket long, levels array<binary>, digests binary, ids binary, known binary, rows binary, sizes binary"
+GROUP = ("digest", "keep_id", "keep_row", "group_size")
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " ")
 
 
+def digest(text: Column) -> Column:
+    """The SHA-256 of the normalised text as 32 bytes."""
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest) with the SHA-256 of the normalised text as 32 bytes."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
+    """(row, doc_id, digest); row is a number of its own for each row, fixed once the table is written."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text").cast("string")).alias("digest"))
+
 
+def grouped(rows: DataFrame, *keys: str) -> DataFrame:
+    """(digest, keep_id, keep_row, group_size) of rows (row, doc_id, digest), by digest and keys; summed before the shuffle."""
+    keep_row = F.coalesce(F.min_by("row", "doc_id"), F.min("row"))
+    return rows.groupBy("digest", *keys).agg(F.min("doc_id").alias("keep_id"), keep_row.alias("keep_row"), F.count("*").alias("group_size")).drop(*keys)
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """(digest, winner, n): one row for each distinct digest, summed before the shuffle."""
-    return rows.groupBy("digest").agg(F.min("doc_id").alias("winner"), F.count("*").alias("n"))
+
+def regrouped(groups: DataFrame) -> DataFrame:
+    """Groups (digest, keep_id, keep_row, group_size) with repeated digests summed."""
+    keep_row = F.coalesce(F.min_by("keep_row", "keep_id"), F.min("keep_row"))
+    return groups.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), keep_row.alias("keep_row"), F.sum("group_size").alias("group_size"))
 
 
 def _places(words: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -100,78 +118,85 @@ def bucket_of(digest: Column, buckets: int) -> Column:
 
 
 def build_index(history: DataFrame, buckets: int) -> DataFrame:
-    """The perfect hash of a grouped history (digest, winner, n), one row a bucket: levels and, by slot, digest, winner and size.
+    """The perfect hash of a history of distinct digests, one row a bucket: levels and, by slot, digest, winner and size.
 
-    A null winner is held as the smallest long. History must hold each digest once.
+    The winner's locator is its doc_id (known is 0 for a null one) and its row.
     """
 
     def build(part: pa.Table) -> pa.Table:
         raw = _bytes(part.column("digest"))
         hash_ = PerfectHash.build(_words(raw))
         order = np.argsort(hash_.slots(_words(raw)))
-        winners = part.column("winner").fill_null(np.iinfo(np.int64).min).to_numpy()[order]
-        sizes = part.column("n").to_numpy()[order]
-        return pa.table({"bucket": part.column("bucket")[:1], "n": [len(raw)], "levels": [hash_.to_bytes()], "digests": [raw[order].tobytes()], "winners": [winners.tobytes()], "sizes": [sizes.tobytes()]}, schema=pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("levels", pa.list_(pa.binary())), ("digests", pa.binary()), ("winners", pa.binary()), ("sizes", pa.binary())]))
+        ids = part.column("keep_id")
+        held = {
+            "digests": raw,
+            "ids": ids.fill_null(0).to_numpy(),
+            "known": ids.is_valid().to_numpy().astype(np.uint8),
+            "rows": part.column("keep_row").to_numpy(),
+            "sizes": part.column("group_size").to_numpy(),
+        }
+        binary = {k: pa.array([v[order].tobytes()], pa.binary()) for k, v in held.items()}
+        return pa.table({"bucket": part.column("bucket")[:1], "levels": pa.array([hash_.to_bytes()], pa.list_(pa.binary())), **binary})
 
     return history.withColumn("bucket", bucket_of(F.col("digest"), buckets)).groupBy("bucket").applyInArrow(build, INDEX_SCHEMA)
 
 
-def look_up(keys: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
-    """keys (digest, winner, n) with winner, size and found of the indexed digest that is byte for byte the same."""
-    schema = "digest binary, winner long, n long, found boolean, old_winner long, old_n long"
-    asked = keys.withColumn("bucket", bucket_of(F.col("digest"), buckets)).groupBy("bucket")
+def look_up(groups: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
+    """groups with found, and with old_id, old_row and old_size of the indexed digest that is byte for byte the same."""
+    schema = "digest binary, keep_id long, keep_row long, group_size long, found boolean, old_id long, old_row long, old_size long"
+    asked = groups.withColumn("bucket", bucket_of(F.col("digest"), buckets)).groupBy("bucket")
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = left.select(["digest", "winner", "n"])
-        if not len(rows):
-            found, winner, size = [], [], []
-        elif not len(right):
-            found, winner, size = np.zeros(len(rows), bool), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        else:
+        rows = left.select(list(GROUP))
+        n = len(rows)
+        found, old = np.zeros(n, bool), {k: np.zeros(n, np.int64) for k in ("ids", "known", "rows", "sizes")}
+        if n and len(right):
+            held = lambda name, kind: np.frombuffer(right.column(name)[0].as_py(), dtype=kind)
             raw = _bytes(rows.column("digest"))
-            held = np.frombuffer(right.column("digests")[0].as_py(), dtype=np.uint8).reshape(-1, DIGEST)
             slot = PerfectHash.from_bytes(right.column("levels")[0].as_py()).slots(_words(raw))
-            found = (slot >= 0) & (held[slot] == raw).all(axis=1)
-            winner = np.frombuffer(right.column("winners")[0].as_py(), dtype=np.int64)[slot]
-            size = np.frombuffer(right.column("sizes")[0].as_py(), dtype=np.int64)[slot]
-        found = pa.array(found, pa.bool_())
-        none = np.iinfo(np.int64).min
-        return pa.table({**{c: rows.column(c) for c in rows.column_names}, "found": found, "old_winner": pa.array([None if w == none else int(w) for w in winner], pa.int64()), "old_n": pa.array(size, pa.int64())})
+            found = (slot >= 0) & (held("digests", np.uint8).reshape(-1, DIGEST)[slot] == raw).all(axis=1)
+            old = {k: held(k, np.uint8 if k == "known" else np.int64)[slot] for k in old}
+        given = {name: pa.array(old[k], pa.int64(), mask=~found) for name, k in (("old_row", "rows"), ("old_size", "sizes"))}
+        ids = pa.array(old["ids"], pa.int64(), mask=~(found & (old["known"] > 0)))
+        return pa.table({**{c: rows.column(c) for c in GROUP}, "found": pa.array(found), "old_id": ids, **given})
 
     return asked.cogroup(index.groupBy("bucket")).applyInArrow(probe, schema)
 
 
 def dedup(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """(digest, keep_id, group_size) for every distinct digest of rows (doc_id, digest), against a history of such rows.
+    """(digest, keep_id, keep_row, group_size) for every distinct digest of rows and of a history (row, doc_id, digest both).
 
-    The digests of history are indexed. Those of rows are grouped, then looked up: members take the winner of their slot
-    (or their own smallest doc_id, if that is smaller), nonmembers keep their own. Sizes count both tables.
+    The distinct digests of the history are indexed. The rows, summed in parts so that a hot digest is few keys, are looked
+    up: members add to the group of their slot, whose winner stays unless they have a smaller doc_id; nonmembers are
+    grouped on their own. The groups are written once.
     """
-    new = written(grouped(rows), "digests")
     if history is None:
-        return new.select("digest", F.col("winner").alias("keep_id"), F.col("n").alias("group_size"))
+        return written(grouped(rows), "groups")
     old = written(grouped(history), "history")
     buckets = max(64, -(-old.count() // BUCKET_ROWS))
-    met = look_up(new, build_index(old, buckets), buckets)
-    return met.select("digest", F.when(F.col("found"), F.least("winner", "old_winner")).otherwise(F.col("winner")).alias("keep_id"), F.when(F.col("found"), F.col("n") + F.col("old_n")).otherwise(F.col("n")).alias("group_size"))
+    parts = grouped(rows.withColumn("part", F.pmod("row", F.lit(PARTS))), "part")
+    met = written(look_up(parts, build_index(old, buckets), buckets), "met")
+    new = regrouped(met.where("not found").select(*GROUP))
+    first = lambda a, b: F.coalesce(F.col(a) < F.col(b), F.col(a).isNotNull())
+    joined = met.where("found").groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.coalesce(F.min_by("keep_row", "keep_id"), F.min("keep_row")).alias("keep_row"), F.sum("group_size").alias("group_size"), F.first("old_id").alias("old_id"), F.first("old_row").alias("old_row"), F.first("old_size").alias("old_size"))
+    members = joined.select("digest", F.least("keep_id", "old_id").alias("keep_id"), F.when(first("keep_id", "old_id"), F.col("keep_row")).otherwise(F.col("old_row")).alias("keep_row"), (F.col("group_size") + F.col("old_size")).alias("group_size"))
+    alone = old.join(joined.select("digest"), "digest", "left_anti")
+    return written(new.unionByName(members).unionByName(alone.select(*GROUP)), "groups")
+
+
+def groups_of(rows: DataFrame) -> DataFrame:
+    """The groups of written rows, which arrive in two loads: ids up to the middle of their range are the history, the rest are looked up."""
+    ends = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    middle = (ends[0] + ends[1]) // 2 if ends[0] is not None else 0
+    early = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
+    return dedup(rows.where(~early), rows.where(early))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
-
-    The rows arrive in two loads: those with ids up to the middle of the range of ids are the history, whose digests are
-    indexed, and the rest are looked up. The history's own digests that the second load repeats grow accordingly.
-    """
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. One row of each group is kept."""
     rows = written(digests(docs), "rows")
-    ends = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    middle = (ends[0] + ends[1]) // 2 if ends[0] is not None else 0
-    early = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
-    later = written(dedup(rows.where(~early), rows.where(early)), "later")
-    first = grouped(rows.where(early)).select("digest", F.col("winner").alias("keep_id"), F.col("n").alias("group_size"))
-    only = first.join(later.select(F.col("digest").alias("d")), F.col("digest") == F.col("d"), "left_anti")
-    groups = written(later.unionByName(only), "groups").withColumnRenamed("digest", "key")
-    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
-    return rows.join(groups, rows.digest == groups.key).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    met = join_groups(rows, groups_of(rows), "digest", "group_size", rows.count())
+    return met.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -179,9 +204,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that stay. Rows without a doc_id stay."""
-    gone = verdicts(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
+    """One document of each group of equal texts stays. Rows are told apart by doc_id and text, so no text is lost where rows share an id."""
+    groups = groups_of(written(digests(docs), "rows"))
+    kept = groups.select(row_key(F.col("keep_id"), F.hex("digest")).alias(ROW_KEY))
+    return one_of_each(docs, F.hex(digest(F.col("text").cast("string"))), kept)
 
 
 ORACLE = r"""

@@ -1,8 +1,9 @@
 """SimHash near-duplicates: fingerprints, a binary-trie self-join for links, and components of the links.
 
-Rows: null and empty texts have fingerprint zero and are linked like any others. Repeated rows share a fingerprint and a
-component. A null doc_id counts for no minimum; a component of such rows only has a null component_id. Extra columns are
-ignored.
+Rows: null, empty and blank texts have fingerprint zero and are linked like any others. Repeated rows share a fingerprint
+and a component. A null doc_id counts for no minimum; a component of such rows only has a null component_id. Texts are read
+whole, whatever their length. Columns other than doc_id and text are carried along by the stage, whatever their names, and
+ignored otherwise; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import written
+from corpusloom.llm.common import ROW_KEY, join_groups, one_of_each, row_key, written
 
 SHINGLE = 4
 SEED = 42
@@ -47,14 +48,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row of docs."""
+    """(doc_id, fp, ROW_KEY) for every row of docs."""
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = pa.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, batch.column(1)], names=["doc_id", "fp", ROW_KEY])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), row_key(F.col("doc_id"), text).alias(ROW_KEY), text).mapInArrow(run, f"doc_id long, fp long, {ROW_KEY} binary")
 
 
 def _roots(label: np.ndarray) -> np.ndarray:
@@ -180,14 +182,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of docs: doc_id, fp (long) and component_id, the smallest doc_id reachable over links."""
+    """One row per row of docs: doc_id, fp (long), root (the least fp of the component), component_id (the smallest doc_id
+    reachable over links) and ROW_KEY."""
     prints = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    root_of = components(links(nodes, nodes.count(), budget))
-    rooted = nodes.join(root_of, nodes.fp == root_of.v, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = rooted.join(least.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return prints.join(member, prints.fp == member.f).select("doc_id", "fp", "component_id")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "nodes")
+    n_nodes, n_rows = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    root_of = components(links(nodes, n_nodes, budget))
+    rooted = written(nodes.join(root_of, nodes.fp == root_of.v, "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    member = join_groups(rooted, least, "root", "n", n_nodes).select("fp", "root", "component_id", "copies")
+    return join_groups(prints, member, "fp", "copies", n_rows).select("doc_id", "fp", "root", "component_id", ROW_KEY)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -196,7 +200,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: its smallest doc_id. Rows without a doc_id stay."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
+    """One document of each component stays: that with its smallest doc_id, and where rows share that, one of them.
+
+    Rows are told apart by doc_id and text, so no text is lost where rows share an id.
+    """
+    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return one_of_each(docs, F.col("text").cast("string"), found.groupBy("root").agg(F.min(ROW_KEY).alias(ROW_KEY)))

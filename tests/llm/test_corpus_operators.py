@@ -30,18 +30,42 @@ def test_exact_dedup(spark):
     got = exact_dedup.verdicts(docs(spark, rows)).collect()
     groups = defaultdict(list)
     norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
+    norms = {hashlib.sha256(norm(t).encode()).hexdigest(): norm(t) for _, t, _ in rows}
     for i, t, _ in rows:
         groups[hashlib.sha256(norm(t).encode()).hexdigest()].append(i)
     want = Counter()
     for key, ids in groups.items():
         keep = min((i for i in ids if i is not None), default=None)
-        want.update((i, keep, len(ids), i == keep, key) for i in ids)
+        want.update((i, keep, len(ids), i == keep and not keep_is_repeat, key) for i, keep_is_repeat in zip(ids, repeats(ids)))
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
     assert exact_dedup.verdicts(docs(spark, rows).limit(0)).count() == 0
     left = exact_dedup.stage(spark, docs(spark, rows), "")
     assert left.columns == docs(spark, []).columns
-    keep = {i for i, k, *_ in want if i == k} | {None}
-    assert Counter(r["doc_id"] for r in left.collect()) == Counter(i for i, *_ in rows if i in keep)
+    assert Counter((r["doc_id"], norm(r["text"])) for r in left.collect()) == Counter((min((i for i in ids if i is not None), default=None), norms[key]) for key, ids in groups.items())
+
+
+def repeats(ids):
+    """Whether each id has come before."""
+    return [i in ids[:k] for k, i in enumerate(ids)]
+
+
+def test_dedup_stages_lose_no_text_where_rows_share_an_id(spark):
+    rng = np.random.default_rng(8)
+    long = [" ".join(rng.choice([f"w{i}" for i in range(900)], 300)) for _ in range(3)]
+    for a, b, c in [("A", "B", "C"), long]:
+        rows = [(1, a, "s"), (5, a, "s"), (5, b, "s"), (5, b, "s"), (None, b, "s"), (None, c, "s"), (None, c, "s")]
+        for stage in (exact_dedup.stage, simhash.stage):
+            left = stage(spark, docs(spark, rows), "").collect()
+            assert sorted((str(r["doc_id"]), r["text"]) for r in left) == sorted([("1", a), ("5", b), ("None", c)])
+            assert stage(spark, docs(spark, []), "").count() == 0
+
+
+def test_dedup_of_a_hot_group(spark):
+    rows = [(i, "same text" if i % 3 else f"text {i} of its own", "s") for i in range(4000)]
+    got = {r["doc_id"]: r for r in exact_dedup.verdicts(docs(spark, rows)).collect()}
+    assert sum(r["kept"] for r in got.values()) == 1335 and got[3999]["kept"] and got[2]["keep_id"] == 1 and got[2]["group_size"] == 2666
+    prints = {r["doc_id"]: r for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    assert len(prints) == 4000 and {prints[i]["component_id"] for i in range(4000) if i % 3} == {1}
 
 
 def test_perfect_hash_is_minimal():
@@ -57,8 +81,9 @@ def test_perfect_hash_is_minimal():
 def test_history_and_newcomers(spark):
     old = exact_dedup.digests(docs(spark, [(5, "a", "s"), (9, "b", "s"), (6, "a", "s")]))
     new = exact_dedup.digests(docs(spark, [(1, "b", "s"), (20, "a", "s"), (30, "c", "s"), (31, "c", "s")]))
+    old = old.union(exact_dedup.digests(docs(spark, [(2, "only old", "s")])))
     got = {(r["keep_id"], r["group_size"]) for r in exact_dedup.dedup(new, old).collect()}
-    assert got == {(1, 2), (5, 3), (30, 2)}
+    assert got == {(1, 2), (5, 3), (30, 2), (2, 1)}
 
 
 # SimHash
@@ -104,11 +129,11 @@ def test_simhash(spark):
         if i is not None and (least[r] is None or i < least[r]):
             least[r] = i
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    assert Counter(tuple(r) for r in got) == Counter((i, signed(prints[t]), least[root[prints[t]]]) for i, t, _ in rows)
+    assert Counter((r["doc_id"], r["fp"], r["component_id"]) for r in got) == Counter((i, signed(prints[t]), least[root[prints[t]]]) for i, t, _ in rows)
     assert len(set(least.values())) < len(rows) - 20
     assert simhash.near_duplicates(docs(spark, rows).limit(0)).count() == 0
     left = [r["doc_id"] for r in simhash.stage(spark, docs(spark, rows), "").collect()]
-    assert set(left) == {i for i in least.values()} | {None}
+    assert Counter(left) == Counter(least[r] for r in set(root.values()))
 
 
 def test_trie_forest_links_all_that_brute_force_links():
