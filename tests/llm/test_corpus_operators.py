@@ -183,12 +183,50 @@ def test_mixing(spark):
         assert 0 <= r["taken"] <= 2 * r["size"] and r["source_size"] == size[r["source"]]
         assert r["target"] == pytest.approx(aim[r["source"]], abs=1e-3)
         taken[r["source"]] += r["taken"]
-    assert all(abs(taken[s] - aim[s]) <= 1 for s in size)
+    assert all(abs(taken[s] - aim[s]) <= mixing.LEAST_PACKET for s in size) and sum(taken.values()) == int(total)
     again = mixing.mix(docs(spark, rows[::-1])).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     assert mixing.mix(docs(spark, rows).limit(0)).count() == 0 and mixing.mix(docs(spark, [(1, None, None)])).first()["taken"] == 0
 
 
+def queue_of(rows, target):
+    """Words taken of rows (doc_id, text, source), by a plain queue ordered by finish time; and by a quota for each source."""
+    size = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in target}
+    srcs = sorted(target, key=lambda s: (s is None, s or ""))
+    entries, quota = [], Counter()
+    for s in srcs:
+        mine = [(int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:15], 16), i, len((t or "").split())) for i, t, x in rows if x == s]
+        at = 0
+        for turn in range(2):
+            for _, i, n in sorted(mine):
+                width = max(mixing.LEAST_PACKET, -int(-target[s] // mixing.PACKETS))
+                quota[i] += min(n, max(0, round(target[s]) - at))
+                for first in range(0, n, width):
+                    k = min(width, n - first)
+                    entries.append(((at + first + k) / target[s], srcs.index(s), at + first + k, i, k))
+                at += n
+    left, taken = int(1.5 * sum(size.values())), Counter()
+    for _, _, _, i, k in sorted(entries):
+        taken[i] += min(k, max(0, left))
+        left -= k
+    return taken, quota
+
+
+def test_the_queues_order_decides(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 700))), "abc"[int(rng.integers(3))]) for i in range(300)] + [(400, "w " * 30_000, "a")]
+    got = mixing.mix(docs(spark, rows)).collect()
+    taken, quota = queue_of(rows, {r["source"]: r["target"] for r in got})
+    assert {r["doc_id"]: r["taken"] for r in got} == {i: taken[i] for i, _, _ in rows}
+    assert any(taken[i] != quota[i] for i, _, _ in rows)  # a quota without the order gives another mix
+
+
+def test_repeated_rows_keep_their_words(spark):
+    rows = [(1, "a b c d", "x")] * 30 + [(2, "q r s", "y"), (None, None, None)]
+    out = mixing.stage(spark, docs(spark, rows), "").collect()
+    assert sum(len(r["text"].split()) for r in out) == int(1.5 * 123)
+
+
 def test_mixed_documents_hold_the_taken_words(spark):
     rows = [(i, f"  one two\n three{i} four ", "ab"[i % 2]) for i in range(40)]
     table = docs(spark, rows)
