@@ -3,7 +3,9 @@
 import hashlib
 import json
 import re
+import time
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -228,3 +230,52 @@ def test_rules_are_mined_whatever_the_share_of_bad_labels(spark):
     assert mined([(["host=spam"], True)] * 160 + [(["host=good"], False)] * 40) == {("host=spam",): 1.0}
     mixed = [(["host=a"], i < 62) for i in range(100)] + [(["host=b"], i < 28) for i in range(100)]
     assert mined(mixed) == {("host=a",): 0.62}
+
+
+def rules_by_hand(rows, least, min_confidence, min_z):
+    """Rules of up to MAX_TOKENS tokens by counting all combinations; those that a shorter one matches in confidence are out."""
+    base = sum(bad for _, bad in rows) / len(rows)
+    found = {}
+    for size in range(1, url_rules.MAX_TOKENS + 1):
+        fits, hits = Counter(), Counter()
+        for tokens, bad in rows:
+            for part in combinations(sorted(tokens), size):
+                fits[part] += 1
+                hits[part] += bad
+        for part, n in fits.items():
+            share = hits[part] / n
+            if hits[part] >= least and share >= min_confidence and (share - base) / (base * (1 - base) / n) ** 0.5 >= min_z:
+                found[part] = share
+    beats = lambda a, b: len(a) < len(b) and set(a) < set(b) and found[a] >= found[b]
+    return {p: pytest.approx(c) for p, c in found.items() if not any(beats(q, p) for q in found)}
+
+
+def test_mining_and_matching_against_counting(spark):
+    rng = np.random.default_rng(12)
+    names = [f"t{i}" for i in range(9)]
+    rows = []
+    for _ in range(900):
+        tokens = [t for t in names if rng.random() < 0.35]
+        bad = rng.random() < (0.9 if {"t1", "t4"} <= set(tokens) else 0.7 if "t7" in tokens and "t2" not in tokens else 0.1)
+        rows.append((tokens, bool(bad)))
+    mined = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"))
+    got = {tuple(r["antecedent"]): r["confidence"] for r in mined.collect()}
+    assert got == rules_by_hand(rows, 20, url_rules.MIN_CONFIDENCE, url_rules.MIN_Z) and ("t1", "t4") in got
+    table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "row long, tokens array<string>")
+    hits = Counter((r["row"], r["rule_id"]) for r in url_rules.matched(table, mined).collect())
+    ids = {tuple(r["antecedent"]): r["rule_id"] for r in mined.collect()}
+    assert hits == Counter((i, ids[a]) for i, (t, _) in enumerate(rows) for a in ids if set(a) <= set(t))
+
+
+def test_long_and_repeated_urls_end_soon(spark):
+    rng = np.random.default_rng(13)
+    path = "/".join(f"part{k}" for k in range(60))
+    same = [(i, f"http://a.b.c.spam.org/{path}") for i in range(40)]
+    mixed = [(100 + i, "http://x.org/" + "/".join(f"s{k}" for k in range(40) if rng.random() < 0.9)) for i in range(300)]
+    long = [(900, "http://spam.org/" + "x/" * 50_000), (901, None), (902, f"http://a.b.c.spam.org/{path}")]
+    pages = spark.createDataFrame(same + mixed + long, "page_id long, url string")
+    labels = spark.createDataFrame([(i, True) for i in range(40)] + [(100 + i, False) for i in range(300)], "page_id long, bad boolean")
+    began = time.monotonic()
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, labels).collect()}
+    assert time.monotonic() - began < 90
+    assert got[902] == "block" and got[901] == "allow" and all(got[100 + i] == "allow" for i in range(300))
