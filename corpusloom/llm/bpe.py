@@ -3,8 +3,9 @@
 A pair of bytes that occurs inside no token of the vocabulary can never be merged over: between such bytes a word is cut,
 the fragments are encoded on their own, and their tokens are put after each other.
 
-Rows: null is encoded like an empty text, to no tokens. Repeated rows are encoded alike; extra columns are ignored. Texts
-are encoded whole; runs without white space of any length cost n log n at most.
+Rows: null is encoded like an empty text, to no tokens. Repeated rows are encoded alike, a null doc_id like others; extra
+columns are ignored; an empty table gives an empty result. Texts are encoded whole; runs without white space of any length
+cost n log n at most.
 """
 
 from __future__ import annotations
@@ -32,10 +33,14 @@ NEVER = (1 << 30, -1)
 PLAIN_END = 0x300
 
 
-def default_tokenizer() -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def default_tokenizer() -> str:
+    return tokenizer_path("word_bpe_49k.json")
 
 
 def _byte_signs() -> list[str]:

@@ -1,23 +1,32 @@
 """Token counts: rollups by source, language and tokenizer version that are maintained by signed deltas.
 
 Rows: a null text has 0 tokens; null sources and languages are groups of their own. Repeated rows count as often as they
-are. Extra columns are ignored; an empty batch is a commit without totals. Totals that come to no documents stay, with 0.
+are. Texts are counted whole, however long. Extra columns are ignored; an empty batch is a commit without totals. Totals that
+come to no documents stay, with 0.
 
-A batch of changes is summed to one row for each group before it is stored. Each batch has a folder of its own, named by its
-identifier and complete once Spark's committer has left its mark there: a batch that is written again, after a failure or
-twice, is skipped if it is complete and replaced if not. Totals are the sums over complete batches.
+A batch of changes is summed to one row for each group before it is stored. It is written aside and then renamed to a folder
+named by its identifier, which fails where that folder is there already: of two writers of one batch one commits, and a
+batch that comes again is skipped. Compaction writes the totals of all batches with the list of their identifiers, so that
+they are known as committed even after their folders are gone. Totals are the latest compaction and the batches after it.
 """
 
 from __future__ import annotations
 
+import logging
 import re
 import uuid
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corpusloom.llm import bpe
 from corpusloom.llm.common import n_words, shared_dir, written
 
+log = logging.getLogger(__name__)
+
 KEYS = ("source", "lang", "tokenizer")
 CHANGE_SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 #: Tokenizer versions that count without a vocabulary: words, and words with punctuation apart.
@@ -28,7 +37,7 @@ TOKENIZERS = {
 
 
 class Rollup:
-    """Additive totals in a folder of batches."""
+    """Additive totals in a folder of batches (batch=ID) and compactions (compact=N, with totals and ids)."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -42,38 +51,110 @@ class Rollup:
             raise ValueError(f"not a batch identifier: {batch!r}")
         return f"{self.path}/batch={batch}"
 
-    def has(self, batch: str) -> bool:
-        mark, files = self._file(f"{self._folder(batch)}/_SUCCESS")
+    def _complete(self, folder: str) -> bool:
+        mark, files = self._file(f"{folder}/_SUCCESS")
         return files.exists(mark)
 
+    def _named(self, kind: str) -> list[str]:
+        """What follows the kind in the names of complete folders."""
+        root, files = self._file(self.path)
+        names = [f.getPath().getName() for f in files.listStatus(root)] if files.exists(root) else []
+        return [n.removeprefix(f"{kind}=") for n in names if n.startswith(f"{kind}=") and self._complete(f"{self.path}/{n}" + ("/ids" if kind == "compact" else ""))]
+
+    def _latest(self) -> int | None:
+        return max(map(int, self._named("compact")), default=None)
+
+    def _compacted(self, among: list[str]) -> set[str]:
+        """Which of these batches the latest compaction holds."""
+        k = self._latest()
+        if k is None or not among:
+            return set()
+        ids = self.spark.read.schema("batch string").parquet(f"{self.path}/compact={k}/ids")
+        return {r["batch"] for r in ids.where(F.col("batch").isin(among)).collect()}
+
+    def _move(self, source: str, target: str) -> bool:
+        """Rename a folder; False, and without it, if the target is there already."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        (old, files), (new, _) = self._file(source), self._file(target)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf)
+        try:
+            context.rename(old, new, self.spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            if not files.exists(new):
+                raise
+            log.info("there already: %s (%s)", target, e.java_exception.getMessage())
+            files.delete(old, True)
+            return False
+        return True
+
+    def has(self, batch: str) -> bool:
+        return self._complete(self._folder(batch)) or bool(self._compacted([batch]))
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Store a batch of changes (source, lang, tokenizer, n_docs, n_tokens; signed). False if it was there already."""
         if self.has(batch):
             return False
-        summed = changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        summed.write.mode("overwrite").parquet(self._folder(batch))
-        return True
+        aside, folder = f"{self.path}/_aside-{uuid.uuid4().hex}", self._folder(batch)
+        changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(aside)
+        broken, files = self._file(folder)
+        if files.exists(broken) and not self._complete(folder):
+            files.delete(broken, True)
+        return self._move(aside, folder)
 
     def totals(self) -> DataFrame:
-        root, files = self._file(self.path)
-        folders = [str(f.getPath()) for f in files.listStatus(root)] if files.exists(root) else []
-        done = [f for f in folders if files.exists(self._file(f"{f}/_SUCCESS")[0])]
-        if not done:
+        batches, k = self._named("batch"), self._latest()
+        held = self._compacted(batches)
+        parts = [self._folder(b) for b in batches if b not in held] + ([] if k is None else [f"{self.path}/compact={k}/totals"])
+        if not parts:
             return self.spark.createDataFrame([], CHANGE_SCHEMA)
-        held = self.spark.read.schema(CHANGE_SCHEMA).parquet(*done)
-        return held.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-
-    def compact(self, batch: str) -> None:
-        """Nothing is merged in place: totals of many batches become one batch of a new folder, under the given identifier."""
-        new = Rollup(self.spark, f"{self.path}-{batch}")
-        new.commit(batch, self.totals())
-        self.path = new.path
+        stored = self.spark.read.schema(CHANGE_SCHEMA).parquet(*parts)
+        return stored.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+    def compact(self) -> bool:
+        """The totals so far as one table, with the identifiers of all its batches. False if another compaction came first."""
+        batches, k = self._named("batch"), self._latest()
+        aside = f"{self.path}/_aside-{uuid.uuid4().hex}"
+        self.totals().write.parquet(f"{aside}/totals")
+        ids = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        if k is not None:
+            ids = ids.union(self.spark.read.schema("batch string").parquet(f"{self.path}/compact={k}/ids"))
+        ids.distinct().write.parquet(f"{aside}/ids")
+        return self._move(aside, f"{self.path}/compact={0 if k is None else k + 1}")
+
+    def vacuum(self) -> None:
+        """Delete the folders of batches and compactions that the latest compaction holds. No one may be reading them."""
+        k = self._latest()
+        gone = [self._folder(b) for b in self._compacted(self._named("batch"))] + [f"{self.path}/compact={n}" for n in self._named("compact") if int(n) != k]
+        for folder in gone:
+            path, files = self._file(folder)
+            files.delete(path, True)
 
 
 def counted(docs: DataFrame, *tokenizers: str) -> DataFrame:
-    """doc_id, source, lang and one count a tokenizer, from one pass over the texts."""
+    """doc_id, source, lang and one count a tokenizer, from one pass over the texts.
+
+    A tokenizer is one of TOKENIZERS, or a version of a vocabulary such as word_bpe_49k/1, whose file is named before the slash.
+    """
     text = F.col("text").cast("string")
-    return docs.select("doc_id", "source", "lang", *(TOKENIZERS[t](text).alias(t) for t in tokenizers))
+    native = [t for t in tokenizers if t in TOKENIZERS]
+    counts = docs.select("doc_id", "source", "lang", *(TOKENIZERS[t](text).alias(t) for t in native), text.alias("text"))
+    for name in tokenizers:
+        if name not in TOKENIZERS:
+            counts = _with_vocabulary(counts, name)
+    return counts.select("doc_id", "source", "lang", *(f"`{t}`" for t in tokenizers))
+
+
+def _with_vocabulary(counts: DataFrame, name: str) -> DataFrame:
+    path = bpe.tokenizer_path(f"{name.partition('/')[0]}.json")
+
+    def run(batches):
+        own = bpe.tokenizer(path)
+        for batch in batches:
+            n = [sum(e[2] for e in own.entries(t or "")) for t in batch.column("text").to_pylist()]
+            yield batch.append_column(name, pa.array(n, pa.int64()))
+
+    schema = T.StructType([*counts.schema.fields, T.StructField(name, T.LongType())])
+    return counts.mapInArrow(run, schema)
 
 
 def inserted(counts: DataFrame, tokenizer: str) -> DataFrame:

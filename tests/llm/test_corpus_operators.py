@@ -254,12 +254,35 @@ def test_rollup_commits_once(spark, tmp_path):
     (tmp_path / "r/batch=broken").mkdir()
     got = {(r["source"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()}
     assert got == {("s", "words/1"): (1, 10), (None, "words/1"): (1, 0), ("s", "pieces/1"): (3, 6), (None, "pieces/1"): (1, 0)}
-    rollup.compact("c1")
-    assert {(r["source"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()} == got
+    shown = lambda: {(r["source"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()}
+    for k in range(2):
+        assert rollup.compact() and shown() == got
+        assert not rollup.commit("one", token_counts.inserted(counts, "words/1")) and shown() == got
+        rollup.vacuum()
+        assert not rollup.commit("one", token_counts.inserted(counts, "words/1")) and shown() == got and rollup.has("none")
+        assert rollup.commit(f"after{k}", token_counts.inserted(counts.where("doc_id = 3").limit(1), "words/1"))
+        got["s", "words/1"] = got["s", "words/1"][0] + 1, got["s", "words/1"][1] + 1
+        assert shown() == got
+    assert rollup.commit("broken", token_counts.inserted(counts.limit(0), "words/1")) and shown() == got
+    aside = f"{rollup.path}/_aside-x"
+    counts.write.parquet(aside)
+    assert not rollup._move(aside, rollup._folder("after1")) and shown() == got  # a second writer comes too late
+    assert not list(tmp_path.glob("r/_aside*"))
     with pytest.raises(ValueError):
         rollup.commit("../x", counts)
 
 
+def test_counts_of_a_vocabulary(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(token_counts.bpe.default_tokenizer())
+    rows = [(1, "Hello wörld, it's 日本", "s"), (2, None, "s"), (3, "word " * 60_000, "t"), (3, "", None), (None, "a-b", "t")]
+    got = token_counts.counted(docs(spark, rows), "words/1", "word_bpe_49k/1")
+    assert got.columns == ["doc_id", "source", "lang", "words/1", "word_bpe_49k/1"]
+    want = Counter((i, s, len((t or "").split()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, s in rows)
+    assert Counter((r[0], r[1], r[3], r[4]) for r in got.collect()) == want
+    assert token_counts.counted(docs(spark, []), "word_bpe_49k/1").count() == 0
+
+
 # Tool calls
 
 
