@@ -285,27 +285,90 @@ def test_counts_of_a_vocabulary(spark):
 
 # Tool calls
 
+ADD = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 0}, "l": {"type": "array", "items": {"type": "string"}}}, "additionalProperties": False}
+CALLS = "thread string, call_id string, needs array<string>, name string, arguments string, level int"
 
-def test_tool_calls(spark):
-    schemas = {"add": {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 0}, "l": {"type": "array", "items": {"type": "string"}}}, "additionalProperties": False}}
+
+def linked(spark, calls, results):
+    """What link() gives, with a clashing column."""
+    return tool_calls.link(spark.createDataFrame([(*c, 7) for c in calls], CALLS), spark.createDataFrame(results, "call_id string, content string"), {"add": ADD}).collect()
+
+
+def levels_by_hand(calls):
+    needs = defaultdict(set)
+    for _, i, n, *_ in calls:
+        if i is not None:
+            needs[i] |= set(n or [])
+    needs = {i: {x for x in n if x in needs} for i, n in needs.items()}
+    level = {}
+    while ready := {i: max((level[x] + 1 for x in n), default=0) for i, n in needs.items() if i not in level and all(x in level for x in n)}:
+        level |= ready
+    return {i: level.get(i) for i in needs}
+
+
+def test_tool_calls_against_brute_force(spark):
     calls = [
-        ("t", "c1", None, "add", '{"a": 1}'), ("t", "c2", "c1", "add", '{"l": ["é"], "a": 2}'), ("t", "c3", "c2", "add", '{"a": -1}'), ("t", "x1", "x2", "add", '{"a": 1}'), ("t", "x2", "x1", "add", '{"a": true}'),
-        ("t", "n1", "gone", "nope", "{}"), ("t", None, None, "add", None), ("u", "d", None, "add", '{"a": 1, "b": 2}'), ("u", "d", None, "add", "{"), ("u", "e", None, "add", '{"a": NaN}'),
+        ("t", "c1", None, "add", '{"a": 1}'), ("t", "c2", ["c1"], "add", '{"l": ["é\\u001f"], "a": 2}'), ("t", "c3", ["c2", "c1", "gone", None], "add", '{"a": -1}'), ("t", "x1", ["x2"], "add", '{"a": 1}'), ("t", "x2", ["x1"], "add", '{"a": true}'),
+        ("t", "x3", ["c1", "x2"], "add", '{"a": 1.0}'), ("t", "me", ["me"], "add", '{"a": 1}'), ("t", "n1", ["gone"], "nope", "{}"), ("t", None, None, "add", None), (None, None, ["c1"], None, None), ("u", "d", ["c3"], "add", '{"a": 1, "b": 2}'),
+        ("u", "d", ["e"], "add", "{"), ("u", "e", [], "add", '{"a": NaN}'), ("u", "e2", ["d"], "add", '{"a": 1e999}'), ("u", "s", None, "add", '{"a": 1, "l": ["\\ud800"]}'), ("v", "long", None, "add", json.dumps({"a": 3, "l": ["x" * 200_000]})), ("v", "long", None, "add", json.dumps({"a": 3, "l": ["x" * 200_000]})),
     ]
-    results = [("c1", 'r "1"\n'), ("c2", None), ("d", "p"), ("d", "q"), ("d", "r"), ("zz", "lost"), (None, "none")]
-    got = tool_calls.link(spark.createDataFrame(calls, "thread string, call_id string, needs string, name string, arguments string"), spark.createDataFrame(results, "call_id string, content string"), schemas).collect()
-    by = defaultdict(list)
+    results = [("c1", 'r "1"\n\x1f'), ("c2", None), ("d", "p"), ("d", "q"), ("d", "r"), ("zz", "lost"), (None, "none"), ("long", "y" * 200_000), ("long", "y" * 200_000)]
+    got = linked(spark, calls, results)
+    level = levels_by_hand(calls)
+    assert level == {"c1": 0, "c2": 1, "c3": 2, "x1": None, "x2": None, "x3": None, "me": None, "n1": 0, "d": 3, "e": 0, "e2": 4, "s": 0, "long": 0}
+    want = Counter()
+    for i in {c[1] for c in calls} | {r[0] for r in results}:
+        mine, theirs = [c for c in calls if c[1] == i], [r[1] for r in results if r[0] == i]
+        pairs = min(len(mine), len(theirs)) if i is not None else 0
+        for k in range(max(len(mine), len(theirs)) if i is not None else 0):
+            want[i, "linked" if k < pairs else "no_result" if len(mine) > pairs else "no_call"] += 1
+        if i is None:
+            want[i, "no_result"], want[i, "no_call"] = len(mine), len(theirs)
+    assert Counter((r["call_id"], r["status"]) for r in got) == want
+    faults = Counter((c[1], tool_calls.checked(c[3], c[4], {"add": ADD})[0]) for c in calls)
+    assert Counter((r["call_id"], r["fault"]) for r in got if r["status"] != "no_call") == faults
+    assert {f for i, f in faults if i in ("e", "e2", "s")} == {"not JSON"} and ("x3", None) in faults and ("d", "$.b: unknown") in faults
+    for r in got:
+        assert r["level"] == (level.get(r["call_id"]) if r["status"] != "no_call" else None)
+        held = json.loads(r["record"])
+        assert r["record"] == tool_calls.canonical(held) and (held["id"], held["name"]) == (r["call_id"], r["name"])
+        if r["status"] != "linked":
+            assert held["result"] is None or r["status"] == "no_call"
+    records = {r["call_id"]: json.loads(r["record"]) for r in got}
+    assert records["c1"] == {"arguments": {"a": 1}, "id": "c1", "name": "add", "result": 'r "1"\n\x1f'} and records["c2"]["arguments"] == {"a": 2, "l": ["é\x1f"]}
+    places = defaultdict(list)
     for r in got:
-        by[r["call_id"]].append(r)
-    assert Counter(r["status"] for r in got) == {"linked": 4, "no_result": 6, "no_call": 3}
-    assert [by[c][0]["level"] for c in ("c1", "c2", "c3", "n1", "x1", "x2")] == [0, 1, 2, 0, None, None]
-    assert json.loads(by["c1"][0]["record"]) == {"arguments": {"a": 1}, "id": "c1", "name": "add", "result": 'r "1"\n'}
-    assert by["c2"][0]["record"] == '{"arguments":{"a":2,"l":["é"]},"id":"c2","name":"add","result":null}'
-    faults = {c: by[c][0]["fault"] for c in ("c1", "c3", "x2", "n1", "e")}
-    assert faults == {"c1": None, "c3": "$.a: below minimum", "x2": "$.a: not integer", "n1": "unknown tool", "e": "not JSON"}
-    assert Counter(r["status"] for r in by["d"]) == {"linked": 2, "no_call": 1}
-    empty = tool_calls.link(spark.createDataFrame([], "thread string, call_id string, needs string, name string, arguments string"), spark.createDataFrame([], "call_id string, content string"), schemas)
-    assert empty.count() == 0
+        places[r["thread"], r["level"]].append(r["place"])
+    assert all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
+    assert linked(spark, [], []) == [] and [r["status"] for r in linked(spark, [], [("a", "b")])] == ["no_call"]
+
+
+def test_levels_of_random_graphs(spark):
+    rng = np.random.default_rng(3)
+    calls = [("t", f"k{i}", [f"k{i - 1}"] if i else None, "add", "{}") for i in range(40)]
+    calls += [("t", f"n{i}", [f"n{j}" for j in rng.integers(0, 60, int(rng.integers(0, 4))) if j < i or rng.random() < 0.03] + ["k39"] * (i % 9 == 0), "add", "{}") for i in range(60)]
+    calls += [("t", f"h{i}", ["k0"], "add", "{}") for i in range(300)]
+    got = {r["call_id"]: r["level"] for r in tool_calls.levels(spark.createDataFrame([(*c, 0) for c in calls], CALLS)).collect()}
+    assert got == levels_by_hand(calls) and None in got.values() and max(x for x in got.values() if x is not None) > 41
+
+
+@pytest.mark.parametrize(
+    ("value", "schema", "found"),
+    [
+        ("x", {"type": ["string", "null"]}, None), (None, {"type": ["string", "null"]}, None), (1, {"type": ["string", "null"]}, "$: not string or null"), (1.0, {"type": "integer"}, None), (1.5, {"type": "integer"}, "$: not integer"),
+        (True, {"enum": [1]}, "$: not in enum"), (1, {"const": 1.0}, None), ("ab", {"minLength": 3}, "$: too short"), ("ab", {"pattern": "^b"}, "$: no match"), ([1, 1], {"uniqueItems": True}, "$: not unique"), ([], {"minItems": 1}, "$: too few"),
+        (6, {"multipleOf": 4}, "$: no multiple"), (3, {"exclusiveMinimum": 3}, "$: not above minimum"), ({"a": 1, "b": "x"}, {"properties": {"a": {}}, "additionalProperties": {"type": "integer"}}, "$.b: not integer"),
+        (1, {"anyOf": [{"type": "string"}, {"minimum": 5}]}, "$: fits none"), (1, {"oneOf": [{"type": "integer"}, {"minimum": 0}]}, "$: fits 2 of one"), (1, {"not": {"type": "integer"}}, "$: fits what it must not"), (1, {"allOf": [{"minimum": 0}, {"maximum": 0}]}, "$: above maximum"),
+    ],
+)
+def test_schema_keywords(value, schema, found):
+    tool_calls.check_schema(schema)
+    assert tool_calls.fault(value, schema) == found
+
+
+def test_schemas_that_are_not_supported_are_refused(spark):
+    with pytest.raises(ValueError, match="dependentSchemas"):
+        tool_calls.checker({"t": {"properties": {"x": {"dependentSchemas": {}}}}})
 
 
 def test_calls_of_conversations(spark, sf_dir):
