@@ -176,9 +176,11 @@ def dedup(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
     buckets = max(64, -(-old.count() // BUCKET_ROWS))
     parts = grouped(rows.withColumn("part", F.pmod("row", F.lit(PARTS))), "part")
     met = written(look_up(parts, build_index(old, buckets), buckets), "met")
-    new = regrouped(met.where("not found").select(*GROUP))
+    new = written(regrouped(met.where("not found").select(*GROUP)), "new")
     first = lambda a, b: F.coalesce(F.col(a) < F.col(b), F.col(a).isNotNull())
-    joined = met.where("found").groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.coalesce(F.min_by("keep_row", "keep_id"), F.min("keep_row")).alias("keep_row"), F.sum("group_size").alias("group_size"), F.first("old_id").alias("old_id"), F.first("old_row").alias("old_row"), F.first("old_size").alias("old_size"))
+    keep_row = F.coalesce(F.min_by("keep_row", "keep_id"), F.min("keep_row"))
+    joined = met.where("found").groupBy("digest").agg(F.min("keep_id").alias("keep_id"), keep_row.alias("keep_row"), F.sum("group_size").alias("group_size"), *(F.first(c).alias(c) for c in ("old_id", "old_row", "old_size")))
+    joined = written(joined, "members")
     members = joined.select("digest", F.least("keep_id", "old_id").alias("keep_id"), F.when(first("keep_id", "old_id"), F.col("keep_row")).otherwise(F.col("old_row")).alias("keep_row"), (F.col("group_size") + F.col("old_size")).alias("group_size"))
     alone = old.join(joined.select("digest"), "digest", "left_anti")
     return written(new.unionByName(members).unionByName(alone.select(*GROUP)), "groups")

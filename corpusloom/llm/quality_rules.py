@@ -7,8 +7,9 @@ empty table gives an empty result. Texts are read whole.
 The list is learned by sequential covering. Each round grows one rule, a conjunction of thresholds, on two thirds of the
 labelled rows, by information gained on rows that no earlier rule covers; cuts it back to the prefix that does best on the
 other third; keeps it if it is precise enough there; and takes the covered rows away. What a round needs from the rows is a
-count by label for each statistic and threshold, so only such counts reach the driver. The rules come out as one ordered
-conditional expression.
+count by label for each statistic and threshold, so only such counts reach the driver. Covering ends when no rule is precise
+enough, or after MAX_RULES rules of MAX_CONDITIONS conditions each, so that the list stays short enough to read. The rules
+come out as one ordered conditional expression.
 """
 
 from __future__ import annotations
@@ -36,12 +37,13 @@ MIN_COVERED = 5
 FEATURES = ("word_length", "symbols", "upper", "marks", "digits", "dup_lines", "repeated", "line_words")
 
 
-def _repeat_words(words: Column) -> Column:
+def _repeat_words(words: Column, hashed=F.xxhash64) -> Column:
     """Words in WINDOW-word windows that are found twice or more in the text.
 
     Each window is a long: its hash in the high bits and its place in the low ones, so that sorting brings equal windows
-    together. Neighbours with equal hash bits are compared word by word. The places of repeated windows, in order, cover
-    min(WINDOW, distance to the next) words each.
+    together. Neighbours with equal hash bits are compared word by word; where these differ, which hardly ever happens, the
+    window is compared with all others. The places of repeated windows, in order, cover min(WINDOW, distance to the next)
+    words each.
     """
 
     def windows(w: Column) -> Column:
@@ -49,8 +51,8 @@ def _repeat_words(words: Column) -> Column:
         places = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
         bits = F.length(F.bin(F.size(w).cast("bigint")))  # of a place
         low = F.element_at(F.array(*(F.lit(1 << k) for k in range(32))), bits + 1).cast("bigint") - 1
-        hashed = F.transform(w, lambda x: F.xxhash64(x))
-        packed = let(hashed, lambda h: F.sort_array(F.transform(places, lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("bigint")))))
+        of_words = F.transform(w, lambda x: F.xxhash64(x))
+        packed = let(of_words, lambda h: F.sort_array(F.transform(places, lambda i: hashed(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("bigint")))))
         return let(F.struct(w.alias("w"), packed.alias("p"), low.alias("low")), repeated)
 
     def repeated(s: Column) -> Column:
@@ -64,7 +66,13 @@ def _repeat_words(words: Column) -> Column:
                 words = words & (F.get(w, i + k) == F.get(w, j + k))
             return F.when(x.bitwiseXOR(y) <= low, F.when(x.bitwiseXOR(y) >= 0, words).otherwise(F.lit(False))).otherwise(F.lit(False))
 
-        twice = F.filter(p, lambda x, i: F.when((i > 0) & equal(x, F.get(p, i - 1)), F.lit(True)).otherwise(F.coalesce(equal(x, F.get(p, i + 1)), F.lit(False))))
+        def found(x: Column, i: Column) -> Column:
+            before, after = F.when(i > 0, F.get(p, i - 1)), F.get(p, i + 1)
+            alike = lambda y: F.coalesce(x.bitwiseXOR(y).between(0, low), F.lit(False))
+            beyond = F.exists(p, lambda y: (x != y) & equal(x, y))
+            return F.when(F.coalesce(equal(x, before), F.lit(False)), F.lit(True)).when(F.coalesce(equal(x, after), F.lit(False)), F.lit(True)).when(alike(before) | alike(after), beyond).otherwise(F.lit(False))
+
+        twice = F.filter(p, found)
         at = F.sort_array(F.transform(twice, place))
         return let(at, lambda a: F.aggregate(F.transform(a, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(a, i + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda acc, x: acc + x))
 

@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import crc_of_id
+from corpusloom.llm.common import crc_of_id, written
 
 #: Windows of words, and how far apart they begin: each shares WINDOW - STRIDE words with the next.
 WINDOW, STRIDE = 64, 48
 #: Sizes of the model.
 INPUT, HIDDEN, TRIGRAMS, VOCABULARY = 16, 8, 1 << 13, 1 << 13
-#: Training: labelled documents and characters of each at most, passes, step length.
-MAX_DOCS, MAX_CHARS = 3000, 20_000
+#: Training: labelled documents and characters in all of them at most, passes, step length.
+MAX_DOCS, MAX_CHARS = 3000, 6_000_000
 PASSES, RATE, BATCH = 5, 0.02, 256
 THRESHOLD = 0.3
 SEED = 11
@@ -283,14 +283,24 @@ def held_out():
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> tuple[Network | None, float]:
     """A network, and the share of toxic labels, from labelled rows that are not held out.
 
-    The sample: max_docs labels at most, the first by hash; their texts are met by a join with that bounded list. Texts of
-    over max_chars characters are not trained on.
+    The sample: max_docs labels, about, the first by hash; of these documents, in the order of another hash, those that
+    together have max_chars characters at most. Texts are used whole, whatever their length. Of rows with one doc_id one is
+    used. Ids and lengths of the sample, and then its texts, are all that reaches the driver.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumnRenamed("doc_id", "label_id")
     n, bad = known.agg(F.count("*"), F.avg("toxic")).first()
     if n > max_docs:
         known = known.where(F.pmod(F.xxhash64("label_id"), F.lit(n)) < max_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).where(F.length("text") <= max_chars).select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    met = docs.select("doc_id", text.alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
+    one = written(met.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "sample")
+    left, used = max_chars, []
+    for doc_id, size in one.select("doc_id", F.length("text")).orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").collect():
+        if size <= left:
+            left -= size
+            used.append((doc_id,))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(used, "used_id long"))
+    rows = one.join(chosen, F.col("doc_id") == F.col("used_id")).select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
     return train(rows["text"].tolist(), [int(x > 0) for x in rows["toxic"]]), float(bad or 0.0)
 
 

@@ -412,3 +412,62 @@ def test_pipeline_stages(spark, sf_dir):
         table = after
     assert counts[0] >= counts[1] >= counts[2] > 0
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(token_counts.bpe.default_tokenizer())
+    rng = np.random.default_rng(21)
+    words = [f"w{i}ö" for i in range(400)]
+    draw = lambda n: " ".join(rng.choice(words, n))
+    rows = [(i, draw(int(rng.integers(60, 400))), "abc"[i % 3]) for i in range(60)]
+    rows += [(100 + i, rows[i][1].replace(" ", "\n ", 3), "a") for i in range(10)] + [(200 + i, rows[i][1] + " tail", None) for i in range(5)]
+    rows += [(300, None, "a"), (301, "", None), (302, "same words here " * 60, "b"), (303, "few words", "b"), (304, draw(9000), "c"), rows[3], rows[3], (5, draw(80), "a"), (None, draw(90), "a")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))  # of one kind: no rule is learned
+    got = Counter(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    def passes(text):
+        w = (text or "").split()
+        seen = Counter(zip(w, w[1:], w[2:]))
+        repeated = {j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+        return len(w) >= 50 and 100 * len(repeated) <= 50 * len(w)
+
+    order = lambda r: (r[0] is None, r[0] or 0)
+    groups = defaultdict(list)
+    for r in filter(lambda r: passes(r[1]), rows):
+        groups[re.sub("[\x20\x09-\x0d]+", " ", r[1])].append(r)
+    left = [min(g, key=order) for g in groups.values()]
+    prints = {r[1]: print_of(r[1]) for r in left}
+    root = components_of(set(prints.values()))
+    near = defaultdict(list)
+    for r in left:
+        near[root[prints[r[1]]]].append(r)
+    left = [min(g, key=order) for g in near.values()]
+    ids = [r[0] for r in left]
+    assert len(set(ids)) == len(ids) - 1 and len(left) < len(rows) - 15  # two texts share the id 5, and both stay
+    mixed = mixing.mix(docs(spark, left)).collect()
+    target = {r["source"]: r["target"] for r in mixed}
+    assert sum(r["taken"] for r in mixed) == int(1.5 * sum(len(t.split()) for _, t, _ in left)) and len(target) > 3
+    due = defaultdict(list)
+    for r in mixed:
+        due[r["doc_id"], r["size"]].append(r["taken"])
+    want = Counter()
+    for i, t, _ in left:
+        spaced, n = re.findall("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+", t), due[i, len(t.split())].pop()
+        for part in (min(n, len(spaced)), n - len(spaced)):
+            if part > 0:
+                found = library.encode(t if part == len(spaced) else "".join(spaced[:part]), add_special_tokens=False)
+                text = library.decode(found.ids, skip_special_tokens=False)
+                want[i, len(found.ids), hashlib.sha256(" ".join(map(str, found.ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] += 1
+    assert got == want
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

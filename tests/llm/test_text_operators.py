@@ -99,6 +99,36 @@ def test_statistics(spark):
     assert quality_rules.judged(docs(spark, ["x"]).limit(0), []).count() == 0
 
 
+def test_repeats_are_exact_when_all_hashes_collide(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcd"), int(rng.integers(0, 60)))) for _ in range(40)] + [" ".join("abcxyzabcpqrxyzabc")]
+    column = quality_rules._repeat_words(quality_rules.words_of(F.col("text")), lambda *words: F.pmod(F.xxhash64(*words), F.lit(3)) * (1 << 40))
+    got = [r[0] for r in docs(spark, texts).orderBy("doc_id").select(column).collect()]
+    assert got == [counts_of(t)[4] for t in texts]
+
+
+def test_first_condition_gains_most(spark):
+    rng = np.random.default_rng(7)
+    x = rng.random((600, len(quality_rules.FEATURES)))
+    bad = (x[:, 2] > 0.7) & (x[:, 4] < 0.8) | (rng.random(600) < 0.02)
+    rows = spark.createDataFrame([(list(map(float, a)), bool(b), True) for a, b in zip(x, bad)] + [(list(map(float, a)), bool(b), False) for a, b in zip(x, bad)], "x array<double>, bad boolean, grow boolean")
+    rules = quality_rules.learn(rows)
+
+    def holds(c, at):
+        return at[:, c.feature] >= c.cut if c.above else at[:, c.feature] < c.cut
+
+    gain = lambda hit, free: quality_rules._gain(int((bad & free).sum()), int((~bad & free).sum()), int((bad & free & hit).sum()), int((~bad & free & hit).sum()))
+    everything = [quality_rules.Condition(k, above, float(v)) for k in range(x.shape[1]) for v in x[:, k] for above in (True, False)]
+    free = np.ones(600, bool)
+    for rule in rules:
+        best = max(gain(holds(c, x), free) for c in everything)
+        assert gain(holds(rule[0], x), free) >= 0.85 * best  # thresholds are quantiles, so the best cut may lie between two
+        hit = np.all([holds(c, x) for c in rule], axis=0) & free
+        assert bad[hit].sum() >= quality_rules.MIN_PRECISION * hit.sum()
+        free &= ~hit
+    assert rules and (bad & free).sum() < 0.2 * bad.sum()
+
+
 def test_learned_list_finds_planted_junk(spark):
     rng = np.random.default_rng(1)
     word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 9))))
@@ -143,6 +173,63 @@ def test_windows_cover_every_word():
         assert {i for a, k in zip(start, length) for i in range(a, a + k)} == set(range(n))
 
 
+def test_forward_pass_against_plain_steps():
+    rng = np.random.default_rng(6)
+    texts = ["one two three", "", "alpha beta Ünï gamma two", " ".join(f"w{i}" for i in range(150))]
+    words = sorted({w for t in texts for w in t.lower().split()})[::2]
+    known = toxicity.Tokens([" ".join(words)]).hashes
+    net = toxicity.Network(np.unique(known), seed=4)
+    net.p = {k: v + rng.standard_normal(v.shape).astype(np.float32) * np.float32(0.2) for k, v in net.p.items()}
+    p, size = net.p, toxicity.HIDDEN
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+
+    def vector(word):
+        t = toxicity.Tokens([word])
+        return p["tri"][t.trigrams].mean(axis=0) + p["word"][net.word_ids(t.hashes)[0]]
+
+    def states(inputs, d):
+        h, out = np.zeros(size), []
+        for x in inputs:
+            a, b = x @ p[f"w{d}"] + p[f"c{d}"], h @ p[f"u{d}"]
+            r, z = logistic(a[:size] + b[:size]), logistic(a[size : 2 * size] + b[size : 2 * size])
+            h = z * h + (1 - z) * np.tanh(a[2 * size :] + r * b[2 * size :])
+            out.append(h)
+        return out
+
+    def score(window):
+        x = [vector(w) for w in window]
+        if not x:
+            return logistic(p["bias"][0])
+        f, b = states(x, "f"), states(x[::-1], "b")[::-1]
+        e = np.array([np.concatenate([u, v]) @ p["pool"] for u, v in zip(f, b)])
+        weight = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        return logistic(sum(w * np.concatenate(v) for w, v in zip(weight, zip(f, b, x))) @ p["out"] + p["bias"][0])
+
+    for text, got in zip(texts, toxicity.score_texts(net, texts)):
+        w = text.lower().split()
+        starts = range(0, max(1, len(w) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)
+        assert got == pytest.approx(max(score(w[a : a + toxicity.WINDOW]) for a in starts), abs=1e-4)
+
+
+def test_training_sample(spark):
+    texts = [("vile " if i % 3 == 0 else "kind ") + f"text of number {i} " * 20 for i in range(200)] + ["vile " + "long " * 30_000]
+    table = docs(spark, texts + [None]).union(docs(spark, texts[:5]))
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0 or i == 200)) for i in range(202)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    seen = {}
+    whole, toxicity.train = toxicity.train, lambda texts, y: seen.update(zip(texts, y)) or "net"
+    try:
+        net, share = toxicity.fit(table, labels)
+        assert net == "net" and 0.3 < share < 0.4 and "vile " + "long " * 30_000 in seen and len(seen) > 130
+        toxicity.fit(table, labels, max_chars=20_000)
+        seen.clear()
+        toxicity.fit(table, labels, max_chars=20_000)
+        assert 0 < sum(map(len, seen)) <= 20_000
+    finally:
+        toxicity.train = whole
+    net, share = toxicity.fit(table.limit(0), labels.limit(0))
+    assert net is None and share == 0.0 and toxicity.score(table.limit(0), net, share).count() == 0
+
+
 def test_gradients():
     net = toxicity.Network(np.arange(5, dtype=np.uint64))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -182,6 +269,11 @@ def test_bpe_is_the_librarys(spark):
         assert digests[i]["decoded_sha256"] == hashlib.sha256(back[i].encode()).hexdigest()
 
 
+def test_bpe_of_nothing(spark):
+    empty = docs(spark, ["x"]).limit(0)
+    assert bpe.digests(empty).count() == 0 and bpe.decode(bpe.encode(empty)).count() == 0
+
+
 def test_no_token_crosses_a_forced_boundary():
     model = bpe.ForcedBoundaryBPE(bpe.default_tokenizer())
     assert model.fragments("ab".encode()) == [b"ab"] and b"".join(model.fragments("日本x7語".encode())) == "日本x7語".encode()
