@@ -4,6 +4,10 @@ Rows: null, empty and blank texts have fingerprint zero and are linked like any
 and a component. A null doc_id counts for no minimum; a component of such rows only has a null component_id. Texts are read
 whole, whatever their length. Columns other than doc_id and text are carried along by the stage, whatever their names, and
 ignored otherwise; an empty table gives an empty result.
+
+One fingerprint links texts that agree in 60 of 64 bits, and so but a part of those whose shingles are 0.8 alike or more. The
+stage gives each text FINGERPRINTS of them, from as many mixings of the shingles' hashes, and texts are linked if any one
+links them; the README has the share of pairs that this finds.
 """
 
 from __future__ import annotations
@@ -14,12 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ROW_KEY, join_groups, one_of_each, row_key, written
+from corpusloom.llm.common import ROW_KEY, follow, join_groups, one_of_each, row_key, written
 
 SHINGLE = 4
 SEED = 42
 BITS = 64
 BUDGET = 4
+#: Fingerprints of a text in the stage, and what mixes the hashes for all but the first.
+FINGERPRINTS = 16
+SALTS = np.random.default_rng(SEED).integers(1, 1 << 63, FINGERPRINTS, dtype=np.uint64)
 #: Distinct fingerprints in one task of the trie join, about.
 GROUP_ROWS = 50_000
 #: Node pairs that are expanded at once, and the largest pair that is compared leaf by leaf.
@@ -27,36 +34,52 @@ FRONTIER = 1 << 16
 LEAF_PAIRS = 64
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text as a signed long."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, and the six ASCII spaces
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
     wide = min(shingle, len(words))
     starts = np.r_[0, gaps + 1][: len(words) - wide + 1].tolist()
     ends = np.r_[gaps, len(joined)][wide - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    n = len(starts)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), dtype=np.uint64, count=n).astype(">u8")
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, 1 << 16):
-        part = hashes[at : at + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), dtype=np.uint64, count=len(starts))
+
+
+def _mixed(hashes: np.ndarray, count: int) -> np.ndarray:
+    """[hash, fingerprint]: the hashes themselves, and count - 1 mixings of them."""
+    x = (hashes[:, None] ^ SALTS[1:count]) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.concatenate([hashes[:, None], x ^ x >> np.uint64(32)], axis=1)
+
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, count: int = 1) -> list[int]:
+    """The 64-bit SimHashes of a text as signed longs."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return [0] * count
+    ones = np.zeros(BITS * count, dtype=np.int64)
+    step = (1 << 16) // count
+    for at in range(0, len(hashes), step):
+        part = _mixed(hashes[at : at + step], count).astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8 * count), axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(hashes)).view(">i8").tolist()
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, ROW_KEY) for every row of docs."""
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, count: int = 1) -> DataFrame:
+    """(doc_id, fp, fps, ROW_KEY) for every row of docs: fp is the first of its count fingerprints, fps the others."""
 
     def run(batches):
         for batch in batches:
-            fps = pa.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps, batch.column(1)], names=["doc_id", "fp", ROW_KEY])
+            found = [fingerprint(t, shingle, count) for t in batch.column(2).to_pylist()]
+            fp, fps = pa.array([x[0] for x in found], pa.int64()), pa.array([x[1:] for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, fps, batch.column(1)], names=["doc_id", "fp", "fps", ROW_KEY])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), row_key(F.col("doc_id"), text).alias(ROW_KEY), text).mapInArrow(run, f"doc_id long, fp long, {ROW_KEY} binary")
+    return docs.select(F.col("doc_id").cast("long"), row_key(F.col("doc_id"), text).alias(ROW_KEY), text).mapInArrow(run, f"doc_id long, fp long, fps array<long>, {ROW_KEY} binary")
 
 
 def _roots(label: np.ndarray) -> np.ndarray:
@@ -130,7 +153,7 @@ def _blocks(bits: int, budget: int) -> list[tuple[int, int]]:
 
 
 def links(nodes: DataFrame, n_nodes: int, budget: int = BUDGET) -> DataFrame:
-    """(a, b): links among the distinct fingerprints of nodes (fp) that join all that lie within the budget.
+    """(nth, a, b): links among the distinct fingerprints of nodes (nth, fp) with one nth that join all that lie within the budget.
 
     Two fingerprints with at most budget differing bits agree on one of budget + 1 blocks. For each block the fingerprints
     are rotated so that the block leads; those with an equal block share a trie root. Roots are dealt out over groups of
@@ -139,7 +162,8 @@ def links(nodes: DataFrame, n_nodes: int, budget: int = BUDGET) -> DataFrame:
     blocks = _blocks(BITS, budget)
     parts = max(64, -(-n_nodes // GROUP_ROWS))
     heads = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", BITS - at - width).bitwiseAND(F.lit((1 << width) - 1)).alias("head")) for k, (at, width) in enumerate(blocks)))
-    dealt = nodes.select("fp", F.explode(heads).alias("x")).select("fp", F.col("x.k").alias("k"), F.pmod(F.xxhash64("x.k", "x.head"), F.lit(parts)).alias("part"))
+    part = F.pmod(F.xxhash64("nth", "x.k", "x.head"), F.lit(parts))
+    dealt = nodes.select("nth", "fp", F.explode(heads).alias("x")).select("nth", "fp", F.col("x.k").alias("k"), part.alias("part"))
 
     def join(found: pa.Table) -> pa.Table:
         at, width = blocks[found.column("k")[0].as_py()]
@@ -147,27 +171,28 @@ def links(nodes: DataFrame, n_nodes: int, budget: int = BUDGET) -> DataFrame:
         turned = np.sort((fp << np.uint64(at)) | (fp >> np.uint64(BITS - at)) if at else fp)
         leaf, root = trie_forest(turned, width, budget)
         back = (turned << np.uint64(BITS - at)) | (turned >> np.uint64(at)) if at else turned
-        return pa.table({"a": back[leaf].view(np.int64), "b": back[root].view(np.int64)})
+        return pa.table({"nth": pa.array(np.full(len(leaf), found.column("nth")[0].as_py()), pa.int32()), "a": back[leaf].view(np.int64), "b": back[root].view(np.int64)})
 
-    return dealt.groupBy("k", "part").applyInArrow(join, "a long, b long").where("a <> b").distinct()
+    return dealt.groupBy("nth", "k", "part").applyInArrow(join, "nth int, a long, b long").where("a <> b").distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(v, root): for each end of an edge (a, b), the smallest end that it is connected to; roots are left out.
 
     Large-star and small-star steps in turn until nothing changes: each node links its larger, then its smaller neighbours
-    to the smallest one. Every step is a grouped minimum and a join, so no neighbourhood is gathered in a task.
+    to the smallest one. Every step is a grouped minimum and a join, so no neighbourhood is gathered in a task; nodes with
+    many neighbours are broadcast there.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), name)
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, total: int) -> DataFrame:
         near = e.select("v", "u").union(e.select(F.col("u"), F.col("v"))).toDF("x", "y") if large else e.select(F.col("v").alias("x"), F.col("u").alias("y"))
-        least = near.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("c"), F.least("c", "m").alias("m"))
-        out = near.join(least, near.x == least.c)
+        least = near.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n")
+        out = join_groups(near, least, "x", "n", total)
         if large:
             out = out.where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u"))
         else:
-            out = out.select(F.col("y").alias("v"), F.col("m").alias("u")).union(least.select(F.col("c").alias("v"), F.col("m").alias("u")))
+            out = out.select(F.col("y").alias("v"), F.col("m").alias("u")).union(least.select(F.col("x").alias("v"), F.col("m").alias("u")))
         return out.where("v <> u").distinct()
 
     def mark(e: DataFrame) -> tuple:
@@ -175,23 +200,39 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     now = mark(edges)
     while True:
-        edges = written(star(star(edges, True), False), name)
+        starred = written(star(edges, True, 2 * now[0]), name)
+        edges = written(star(starred, False, now[0]), name)
         before, now = now, mark(edges)
         if before == now:
             return edges.select("v", F.col("u").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
+def further_links(prints: DataFrame, n_nodes: int, budget: int) -> DataFrame:
+    """(a, b) of first fingerprints whose texts some other fingerprint links. Of texts with one such, the least stands for all."""
+    each = prints.select("fp", "fps").dropDuplicates(["fp", "fps"]).select(F.col("fp").alias("first"), F.posexplode("fps").alias("nth", "fp"))
+    named = written(each.select(F.struct("nth", "fp").alias("node"), "first").distinct(), "further")
+    nodes = written(named.groupBy("node").agg(F.min("first").alias("least"), F.count("*").alias("n")), "nodes")
+    own = join_groups(named, nodes, "node", "n", named.count()).select(F.col("first").alias("a"), F.col("least").alias("b"))
+    found = written(links(nodes.select("node.*"), n_nodes, budget), "links")
+    end = lambda of, at: follow(of, "node", nodes.select("node", F.col("least").alias(at))).drop("node")
+    left = end(found.select(F.struct("nth", F.col("a").alias("fp")).alias("node"), F.struct("nth", F.col("b").alias("fp")).alias("to")), "a")
+    return own.union(end(left.withColumnRenamed("to", "node"), "b").select("a", "b")).where("a <> b")
+
+
+def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, count: int = 1) -> DataFrame:
     """One row per row of docs: doc_id, fp (long), root (the least fp of the component), component_id (the smallest doc_id
-    reachable over links) and ROW_KEY."""
-    prints = written(fingerprints(docs, shingle), "fingerprints")
+    reachable over links of any of its count fingerprints) and ROW_KEY."""
+    prints = written(fingerprints(docs, shingle, count), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "nodes")
     n_nodes, n_rows = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
-    root_of = components(links(nodes, n_nodes, budget))
+    edges = links(nodes.select(F.lit(0).alias("nth"), "fp"), n_nodes, budget).select("a", "b")
+    if count > 1:
+        edges = edges.union(further_links(prints, n_nodes, budget))
+    root_of = components(edges)
     rooted = written(nodes.join(root_of, nodes.fp == root_of.v, "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
     member = join_groups(rooted, least, "root", "n", n_nodes).select("fp", "root", "component_id", "copies")
-    return join_groups(prints, member, "fp", "copies", n_rows).select("doc_id", "fp", "root", "component_id", ROW_KEY)
+    return join_groups(prints.drop("fps"), member, "fp", "copies", n_rows).select("doc_id", "fp", "root", "component_id", ROW_KEY)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -202,7 +243,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that with its smallest doc_id, and where rows share that, one of them.
 
-    Rows are told apart by doc_id and text, so no text is lost where rows share an id.
+    Texts are linked by any of FINGERPRINTS fingerprints. Rows are told apart by doc_id and text, so no text is lost where
+    rows share an id.
     """
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = near_duplicates(docs, count=FINGERPRINTS).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return one_of_each(docs, F.col("text").cast("string"), found.groupBy("root").agg(F.min(ROW_KEY).alias(ROW_KEY)))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import join_groups, n_words, numbered, written
+from corpusloom.llm.common import follow, n_words, numbered, written
 
 KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 #: Keywords of a JSON schema that fault() knows, and those that say nothing about a value.
@@ -160,14 +160,6 @@ def record(call_id: pd.Series, name: pd.Series, arguments: pd.Series, answer: pd
     return pd.Series([recorded(*x) for x in zip(call_id, name, arguments, answer)], dtype=object)
 
 
-def follow(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
-    """rows with the columns of found, one row for each key; null where there is none. A key may be in any share of the rows."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("__size"))
-    asked = written(sizes.join(found, key, "left"), "asked")
-    total = asked.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
-    return join_groups(rows, asked, key, "__size", total).drop("__size")
-
-
 def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level) of calls (call_id, needs: array): 0 if none of its needs is a known call, else one more than the
     highest of these; null in a cycle, and for what needs a call in one.

@@ -133,7 +133,16 @@ def test_simhash(spark):
     assert len(set(least.values())) < len(rows) - 20
     assert simhash.near_duplicates(docs(spark, rows).limit(0)).count() == 0
     left = [r["doc_id"] for r in simhash.stage(spark, docs(spark, rows), "").collect()]
-    assert Counter(left) == Counter(least[r] for r in set(root.values()))
+    prints = {t: [x & (1 << 64) - 1 for x in simhash.fingerprint(t, count=simhash.FINGERPRINTS)] for _, t, _ in rows}
+    assert all(p[0] == print_of(t) and len(set(p)) == (simhash.FINGERPRINTS if (t or "").strip() else 1) for t, p in prints.items())
+    group = {t: t for t in prints}
+    while True:
+        again = {t: min((group[u] for u in prints if any((a ^ b).bit_count() <= 4 for a, b in zip(prints[t], prints[u]))), key=str) for t in prints}
+        if again == group:
+            break
+        group = again
+    first = {g: min((i for i, t, _ in rows if group[t] == g and i is not None), default=None) for g in group.values()}
+    assert Counter(left) == Counter(first.values()) and len(left) < len(set(root.values()))
 
 
 def test_trie_forest_links_all_that_brute_force_links():
@@ -424,7 +433,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     draw = lambda n: " ".join(rng.choice(words, n))
     rows = [(i, draw(int(rng.integers(60, 400))), "abc"[i % 3]) for i in range(60)]
     rows += [(100 + i, rows[i][1].replace(" ", "\n ", 3), "a") for i in range(10)] + [(200 + i, rows[i][1] + " tail", None) for i in range(5)]
-    rows += [(300, None, "a"), (301, "", None), (302, "same words here " * 60, "b"), (303, "few words", "b"), (304, draw(9000), "c"), rows[3], rows[3], (5, draw(80), "a"), (None, draw(90), "a")]
+    rows += [(300, None, "a"), (301, "", None), (302, "same words here " * 60, "b"), (303, "few words", "b"), (304, draw(9000), "c"), (305, draw(120), None), rows[3], rows[3], (5, draw(80), "a"), (None, draw(90), "a")]
     docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))  # of one kind: no rule is learned
     got = Counter(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
@@ -440,11 +449,15 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for r in filter(lambda r: passes(r[1]), rows):
         groups[re.sub("[\x20\x09-\x0d]+", " ", r[1])].append(r)
     left = [min(g, key=order) for g in groups.values()]
-    prints = {r[1]: print_of(r[1]) for r in left}
-    root = components_of(set(prints.values()))
+    prints = {r[1]: simhash.fingerprint(r[1], count=simhash.FINGERPRINTS) for r in left}
+    assert all(p[0] & (1 << 64) - 1 == print_of(t) for t, p in prints.items())
+    linked = lambda t, u: any(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in zip(prints[t], prints[u]))
+    root = {t: t for t in prints}
+    while (again := {t: min(root[u] for u in prints if linked(t, u)) for t in prints}) != root:
+        root = again
     near = defaultdict(list)
     for r in left:
-        near[root[prints[r[1]]]].append(r)
+        near[root[r[1]]].append(r)
     left = [min(g, key=order) for g in near.values()]
     ids = [r[0] for r in left]
     assert len(set(ids)) == len(ids) - 1 and len(left) < len(rows) - 15  # two texts share the id 5, and both stay
