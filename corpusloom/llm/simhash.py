@@ -6,7 +6,7 @@ whole, whatever their length. Columns other than doc_id and text are carried alo
 ignored otherwise; an empty table gives an empty result.
 
 One fingerprint links texts that agree in 60 of 64 bits, and so but a part of those whose shingles are 0.8 alike or more. The
-stage gives each text FINGERPRINTS of them, from as many mixings of the shingles' hashes, and texts are linked if any one
+stage gives each text FINGERPRINTS of them, over shingles of five words, from as many mixings of the shingles' hashes, and texts are linked if any one
 links them; the README has the share of pairs that this finds.
 """
 
@@ -24,7 +24,8 @@ SHINGLE = 4
 SEED = 42
 BITS = 64
 BUDGET = 4
-#: Fingerprints of a text in the stage, and what mixes the hashes for all but the first.
+#: Words in a shingle and fingerprints of a text in the stage, and what mixes the hashes for all but the first.
+STAGE_SHINGLE = 5
 FINGERPRINTS = 16
 SALTS = np.random.default_rng(SEED).integers(1, 1 << 63, FINGERPRINTS, dtype=np.uint64)
 #: Distinct fingerprints in one task of the trie join, about.
@@ -243,8 +244,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that with its smallest doc_id, and where rows share that, one of them.
 
-    Texts are linked by any of FINGERPRINTS fingerprints. Rows are told apart by doc_id and text, so no text is lost where
+    Texts are linked by any of FINGERPRINTS fingerprints of five-word shingles. Rows are told apart by doc_id and text, so no text is lost where
     rows share an id.
     """
-    found = near_duplicates(docs, count=FINGERPRINTS).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = near_duplicates(docs, shingle=STAGE_SHINGLE, count=FINGERPRINTS).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return one_of_each(docs, F.col("text").cast("string"), found.groupBy("root").agg(F.min(ROW_KEY).alias(ROW_KEY)))

@@ -89,11 +89,11 @@ def test_history_and_newcomers(spark):
 # SimHash
 
 
-def print_of(text):
+def print_of(text, wide=4):
     words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
         return 0
-    runs = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    runs = [" ".join(words[i : i + wide]) for i in range(max(1, len(words) - wide + 1))]
     hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -133,8 +133,8 @@ def test_simhash(spark):
     assert len(set(least.values())) < len(rows) - 20
     assert simhash.near_duplicates(docs(spark, rows).limit(0)).count() == 0
     left = [r["doc_id"] for r in simhash.stage(spark, docs(spark, rows), "").collect()]
-    prints = {t: [x & (1 << 64) - 1 for x in simhash.fingerprint(t, count=simhash.FINGERPRINTS)] for _, t, _ in rows}
-    assert all(p[0] == print_of(t) and len(set(p)) == (simhash.FINGERPRINTS if (t or "").strip() else 1) for t, p in prints.items())
+    prints = {t: [x & (1 << 64) - 1 for x in simhash.fingerprint(t, simhash.STAGE_SHINGLE, simhash.FINGERPRINTS)] for _, t, _ in rows}
+    assert all(p[0] == print_of(t, 5) and len(set(p)) == (simhash.FINGERPRINTS if (t or "").strip() else 1) for t, p in prints.items())
     group = {t: t for t in prints}
     while True:
         again = {t: min((group[u] for u in prints if any((a ^ b).bit_count() <= 4 for a, b in zip(prints[t], prints[u]))), key=str) for t in prints}
@@ -449,8 +449,8 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for r in filter(lambda r: passes(r[1]), rows):
         groups[re.sub("[\x20\x09-\x0d]+", " ", r[1])].append(r)
     left = [min(g, key=order) for g in groups.values()]
-    prints = {r[1]: simhash.fingerprint(r[1], count=simhash.FINGERPRINTS) for r in left}
-    assert all(p[0] & (1 << 64) - 1 == print_of(t) for t, p in prints.items())
+    prints = {r[1]: simhash.fingerprint(r[1], simhash.STAGE_SHINGLE, simhash.FINGERPRINTS) for r in left}
+    assert all(p[0] & (1 << 64) - 1 == print_of(t, 5) for t, p in prints.items())
     linked = lambda t, u: any(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in zip(prints[t], prints[u]))
     root = {t: t for t in prints}
     while (again := {t: min(root[u] for u in prints if linked(t, u)) for t in prints}) != root:
