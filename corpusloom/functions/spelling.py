@@ -37,32 +37,34 @@ def _letters(word: Column, body) -> Column:
 
 
 def _spelled(letters: Column) -> Column:
+    """Each letter with what its marks stand for; letters without marks, which are most, are passed on as they are."""
     n = F.size(letters)
-    text = lambda at, field: F.coalesce(F.get(letters, at)[field], F.lit(""))
+    nothing = F.struct(F.lit("").alias("ch"), F.lit("").alias("marks"))
 
     def write(x: Column, i: Column) -> Column:
+        near = F.struct(F.when(i > 0, F.get(letters, i - 1)).otherwise(nothing).alias("before"), F.coalesce(F.get(letters, i + 1), nothing).alias("after"))
+        return F.when(x["marks"] == "", x["ch"]).otherwise(F.get(F.transform(F.array(near), lambda y: heard(x, i, y["before"], y["after"])), F.lit(0)))
+
+    def heard(x: Column, i: Column, before: Column, after: Column) -> Column:
         ch, marks = x["ch"], x["marks"]
-        before, after = text(i - 1, "ch"), text(i + 1, "ch")
-        before = F.when(i > 0, before).otherwise(F.lit(""))
-        marks_before = F.when(i > 0, text(i - 1, "marks")).otherwise(F.lit(""))
-        marks_after = text(i + 1, "marks")
         inner = (i > 0) & (i < n - 1)
-        vowel = F.lit(False)
-        for m in VAV_VOWELS:
-            vowel = vowel | marks.contains(m)
-        not_vav, next_not_vav = ch != "ו", after != "ו"
+        next_not_vav = after["ch"] != "ו"
+        add = lambda letter, cond: F.when(cond, F.lit(letter)).otherwise(F.lit(""))
         earlier_prefixes = F.forall(F.slice(letters, F.lit(1), i), lambda y: _among(y["ch"], PREFIXES))
-        add = [
-            ((ch == "ו") & inner & vowel & (before != "ו") & next_not_vav, "ו"),
-            (marks.contains(QUBUTS) & not_vav & next_not_vav, "ו"),
-            (marks.contains(HOLAM) & not_vav & ~_among(after, SILENT) & ~((i == 0) & _among(ch, FUTURE) & (n >= 3) & (after == "א")) & next_not_vav, "ו"),
-            (marks.contains(QAMATS_QATAN) & not_vav & next_not_vav, "ו"),
-            (marks.contains(QAMATS) & marks_after.contains(SHVA) & ~marks.contains(DAGESH) & not_vav & next_not_vav & ~_among(ch, PREFIXES) & ~_among(after, SILENT), "ו"),
-            ((ch == "י") & marks.contains(HIRIQ) & _among(after, "םמ") & (marks_before.contains(PATAH) | marks_before.contains(QAMATS)), "י"),
-            ((ch == "י") & marks.contains(DAGESH) & inner & (before != "י") & (after != "י") & next_not_vav & ~earlier_prefixes, "י"),
-            ((i > 0) & marks.contains(HIRIQ) & (ch != "י") & (after != "י") & marks_after.contains(DAGESH), "י"),
-        ]
-        return F.concat(ch, *(F.when(cond, F.lit(letter)).otherwise(F.lit("")) for cond, letter in add))
+        for_vav = add("ו", inner & (before["ch"] != "ו") & (F.translate(marks, "".join(VAV_VOWELS), "") != marks))
+        for_others = F.concat(
+            add("ו", marks.contains(QUBUTS)),
+            add("ו", marks.contains(HOLAM) & ~_among(after["ch"], SILENT) & ~((i == 0) & _among(ch, FUTURE) & (n >= 3) & (after["ch"] == "א"))),
+            add("ו", marks.contains(QAMATS_QATAN)),
+            add("ו", marks.contains(QAMATS) & after["marks"].contains(SHVA) & ~marks.contains(DAGESH) & ~_among(ch, PREFIXES) & ~_among(after["ch"], SILENT)),
+        )
+        vavs = F.when(next_not_vav, F.when(ch == "ו", for_vav).otherwise(for_others)).otherwise(F.lit(""))
+        for_yod = F.concat(
+            add("י", marks.contains(HIRIQ) & _among(after["ch"], "םמ") & (before["marks"].contains(PATAH) | before["marks"].contains(QAMATS))),
+            add("י", marks.contains(DAGESH) & inner & (before["ch"] != "י") & (after["ch"] != "י") & next_not_vav & ~earlier_prefixes),
+        )
+        yods = F.when(ch == "י", for_yod).otherwise(add("י", (i > 0) & marks.contains(HIRIQ) & (after["ch"] != "י") & after["marks"].contains(DAGESH)))
+        return F.concat(ch, vavs, yods)
 
     return F.array_join(F.transform(letters, write), "")
 
@@ -95,4 +97,4 @@ def _any(marks: Column, wanted: tuple[str, ...]) -> Column:
 
 def full_spelling(text: Column) -> Column:
     """A text in full spelling, word by word."""
-    return F.array_join(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.when(t.rlike(f"^[{LETTER}]"), full_word(t)).otherwise(strip_marks(t))), "")
+    return F.array_join(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.when(~t.rlike(f"[{MARK}]"), t).when(t.rlike(f"^[{LETTER}]"), full_word(t)).otherwise(strip_marks(t))), "")

@@ -16,9 +16,11 @@ from corpusloom.functions import text as T
 from corpusloom.operators import chat, chunking, enrich, evaluation, retrieval
 from corpusloom.operators import lines as L
 from corpusloom.operators.encoding import PASSAGE, QUERY, HashingEncoder, prefixed
-from corpusloom.plans.oracles import ORACLES  # noqa: F401
+from corpusloom.plans.hebrew_oracles import ORACLES as HEBREW_ORACLES
+from corpusloom.plans.oracles import ORACLES as PLAIN_ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES = PLAIN_ORACLES | HEBREW_ORACLES
 
 #: Latin letters and what they are read as: vowels as vowel marks, other letters as Hebrew letters.
 LATIN, HEBREW = "bcdfghjklmnpqrstvwxyzaeiou", "בגדפהחיכלמנסקרשתועצטז" + "ִֶָֹֻ"
@@ -148,17 +150,21 @@ def full_spelling(spark, sf_dir):
     return lines(spark, sf_dir).select(F.col("doc").alias("doc_id"), "line_no", spelling.full_spelling(hebrew(F.col("line"))).alias("line"))
 
 
+def with_terms(line: Column) -> Column:
+    """A line in which some common words are replaced by terms that the rules know."""
+    for word, term in (("the", 'הקב"ה'), ("of", "ה'"), ("in", "ד' אמות"), ("and", 'עכו"ם'), ("to", "סעיף ה'"), ("is", 'כדלעיל סימן מ"ו'), ("with", "לפי' כותי"), ("on", 'וה"ה או"ח'), ("de", "ונכרים")):
+        line = F.replace(line, F.lit(f" {word} "), F.lit(f" {term} "))
+    return line
+
+
 @query
 def term_unification(spark, sf_dir):
-    """Sentences of Hebrew letters in which common words are replaced by terms that the rules know."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("line"), r"\bthe\b", 'הקב"ה'), r"\bof\b", "ה'"), r"\bin\b", "ד' אמות")
-    return lines(spark, sf_dir).select(F.col("doc").alias("doc_id"), "line_no", terms.unify_terms(text).alias("line"))
+    return lines(spark, sf_dir).select(F.col("doc").alias("doc_id"), "line_no", terms.unify_terms(with_terms(F.col("line"))).alias("line"))
 
 
 @query
 def rule_counters(spark, sf_dir):
-    text = F.regexp_replace(F.regexp_replace(F.col("line"), r"\bthe\b", 'הקב"ה'), r"\bin\b", "ד' אמות")
-    return enrich.rule_totals(lines(spark, sf_dir), terms.rule_counts(text))
+    return enrich.rule_totals(lines(spark, sf_dir), terms.rule_counts(with_terms(F.col("line"))))
 
 
 @query
