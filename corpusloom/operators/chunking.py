@@ -76,6 +76,12 @@ def chunk(paragraphs: DataFrame, mode: str, **how) -> DataFrame:
     return CHUNKERS[mode](paragraphs, **how)
 
 
+def build_chunks(paragraphs: DataFrame, mode: str, **how) -> DataFrame:
+    """chunk() with chunk_id from 0: by section and paragraph, or by window."""
+    chunks = chunk(paragraphs, mode, **how)
+    return numbered(chunks, "window") if "window" in chunks.columns else numbered(chunks, "section", "paragraph")
+
+
 def numbered(chunks: DataFrame, key: str, *order: str, out: str = "chunk_id") -> DataFrame:
     """chunks with their place, from 0, in the order of the number key and then order."""
     return running_sum(chunks.withColumn("_one", F.lit(1)), key, "_one", out, *order).drop("_one")

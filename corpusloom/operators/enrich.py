@@ -23,12 +23,18 @@ def heading_map(lines: DataFrame) -> DataFrame:
 
 
 def enriched(sections: DataFrame, headings: DataFrame, key: str = "section") -> DataFrame:
-    """sections with group and title from headings; '' where there is none, and no title like the group. Old values are replaced."""
+    """sections with group and title from headings; '' where there is none, and no title like the group. Old values are replaced.
+
+    The new columns stand before paragraphs, if there is such a column, and at the end otherwise.
+    """
     old = [c for c in ("group", "title") if c in sections.columns]
     found = headings.select(F.col("section").alias("_of"), F.col("group").alias("_group"), F.col("title").alias("_title"))
     met = sections.drop(*old).join(found, F.col(key).cast("string") == F.col("_of"), "left")
     group, title = (F.coalesce(c, F.lit("")) for c in ("_group", "_title"))
-    return met.withColumn("group", group).withColumn("title", F.when(title == F.col("group"), F.lit("")).otherwise(title)).drop("_of", "_group", "_title")
+    named = met.withColumn("group", group).withColumn("title", F.when(title == F.col("group"), F.lit("")).otherwise(title))
+    kept = [c for c in sections.columns if c not in ("group", "title")]
+    at = kept.index("paragraphs") if "paragraphs" in kept else len(kept)
+    return named.select(*kept[:at], "group", "title", *kept[at:])
 
 
 def without_heading(sections: DataFrame, headings: DataFrame, key: str = "section") -> DataFrame:

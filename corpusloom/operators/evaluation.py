@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import warnings
 from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import token_f1
@@ -75,12 +76,18 @@ def compare(results: DataFrame, metric: str) -> DataFrame:
     return results.withColumn("place", F.row_number().over(Window.orderBy(F.col(metric).desc(), "name")))
 
 
+#: Settings that an experiment gives to other evaluators; unknown ones are probably misspelt.
+OTHERS_SETTINGS = {"max_questions", "answer_metric", "evaluator"}
+
+
 class RetrievalEvaluator:
     """evaluate() gives one result with metrics of a retriever over questions (q_id, question, section)."""
 
     name = "retrieval"
 
-    def __init__(self, k_values=None, retrieve_k=None, target_k: int = TARGET_K, target_recall: float = TARGET_RECALL, unique: bool = True):
+    def __init__(self, k_values=None, retrieve_k=None, target_k: int = TARGET_K, target_recall: float = TARGET_RECALL, unique: bool = True, **unused):
+        if unknown := set(unused) - OTHERS_SETTINGS:
+            warnings.warn(f"unknown settings {sorted(unknown)} of the retrieval evaluator", stacklevel=2)
         self.ks, self.retrieve_k = k_list([*(k_values or K_VALUES), target_k], retrieve_k)
         self.target_k, self.target_recall, self.unique = target_k, target_recall, unique
 
@@ -133,6 +140,17 @@ class AnswerEvaluator:
 EVALUATORS = {x.name: x for x in (RetrievalEvaluator, AnswerEvaluator)}
 
 
+def list_evaluators() -> list[str]:
+    return list(EVALUATORS)
+
+
+def compare_saved(spark: SparkSession, path: str, metric: str = "mrr") -> DataFrame:
+    """Saved results (name: the file's; the metric, and recall_rate as a map) with their place, best first."""
+    saved = spark.read.schema("metrics struct<mrr:double,n_total:bigint,recall_rate:map<string,double>>").json(path, multiLine=True)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
+    return compare(saved.select(name.alias("name"), "metrics.mrr", "metrics.n_total", "metrics.recall_rate"), metric)
+
+
 def get_evaluator(name: str, **how):
     if name not in EVALUATORS:
         raise ValueError(f"unknown evaluator {name!r}; there are {sorted(EVALUATORS)}")

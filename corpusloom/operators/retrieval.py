@@ -124,6 +124,10 @@ class RichRetriever(VectorRetriever):
 RETRIEVERS = {x.name: x for x in (VectorRetriever, RichRetriever)}
 
 
+def list_retrievers() -> list[str]:
+    return list(RETRIEVERS)
+
+
 def get_retriever(name: str, *what, **how) -> Retriever:
     if name not in RETRIEVERS:
         raise ValueError(f"unknown retriever {name!r}; there are {sorted(RETRIEVERS)}")

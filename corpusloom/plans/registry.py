@@ -485,7 +485,9 @@ def chat_history_clean(spark, sf_dir):
 @query
 def chat_payload_clean(spark, sf_dir):
     """Histories as arrays, cleaned as one value: the last four messages, cut to 100 characters."""
-    messages = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    latest = read(spark, sf_dir, "conversations").withColumn("nth", F.row_number().over(order)).where("nth <= 4")  # so that no long conversation is gathered
+    messages = latest.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
     cleaned = chat.clean_messages(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))), 4, 100)
     return messages.select("conv_id", F.posexplode(cleaned).alias("place", "x")).select("conv_id", F.col("place").cast("long").alias("place"), "x.role", "x.content")
 

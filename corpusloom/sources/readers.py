@@ -17,9 +17,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return explode_lines(whole, "doc", "text")
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(title, source, section, group, title_of_section, paragraph, text, gloss, text_raw), one row a paragraph."""
-    nested = spark.read.schema(schemas.CORPUS_FILE).json(path, multiLine=True)
+def read_corpus(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(title, source, section, group, title_of_section, paragraph, text, gloss, text_raw), one row a paragraph.
+
+    A file holds one corpus, or, with lines, sections as write_corpus writes them, which are read in parts.
+    """
+    nested = spark.read.schema(schemas.CORPUS_FILE).json(path, multiLine=not lines)
     sections = nested.select("title", "source", F.inline("simanim"))
     return sections.select("title", "source", F.col("siman").alias("section"), F.col("hilchot_group").alias("group"), F.col("siman_sign").alias("title_of_section"), F.inline("seifim")).withColumnsRenamed({"seif": "paragraph", "hagah": "gloss"})
 

@@ -8,12 +8,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.enrich import nest
-
 
 def write_corpus(paragraphs: DataFrame, path: str, title: str, source: str) -> None:
-    """One JSON line a section, with its paragraphs nested and the corpus's constants."""
-    sections = nest(paragraphs).select(F.lit(title).alias("title"), F.lit(source).alias("source"), "section", "paragraphs")
+    """The nested corpus in the fields of its files, one JSON line a section with the corpus's constants; read_corpus reads it with lines set.
+
+    paragraphs: section, para_no, text, gloss, text_raw; group and title, if there, are those of the section.
+    """
+    headed = [c for c in ("group", "title") if c in paragraphs.columns]
+    of = {c: F.col(c) if c in headed else F.lit("") for c in ("group", "title")}
+    one = F.struct(F.col("para_no").cast("int").alias("seif"), "text", F.col("gloss").alias("hagah"), "text_raw")
+    nested = paragraphs.withColumns({"_group": of["group"], "_title": of["title"]}).groupBy(F.col("section").cast("int").alias("siman"), F.col("_group").alias("hilchot_group"), F.col("_title").alias("siman_sign")).agg(F.array_sort(F.collect_list(one)).alias("seifim"))
+    sections = nested.select(F.lit(title).alias("title"), F.lit(source).alias("source"), F.array(F.struct("siman", "hilchot_group", "siman_sign", "seifim")).alias("simanim"))
     sections.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 

@@ -193,3 +193,71 @@ def test_nesting_and_alignment(paragraphs):
         enrich.check_aligned(paragraphs, paragraphs.where("section < 3"), ("section", "para_no"))
     enrich.check_aligned(paragraphs, paragraphs, ("section", "para_no"))
     assert tuple(enrich.coverage(paragraphs, F.col("text"), F.col("gloss")).first()) == (4, 5, 1, 0.2, 2)
+
+
+def test_build_keeps_raw_lines_and_counts(spark):
+    from corpusloom.plans.pipeline import build_statistics
+    from corpusloom.sources import readers, writers
+
+    text = ["Siman 1", "a  b <small>c <small>(d </small></small>", "שלום הקב\"ה <small>הגה: דבר", "</small>", "שורה  אחרת", "Siman 2", "תרנגול"]
+    raw = spark.createDataFrame([("f", i, line) for i, line in enumerate(text)], "doc string, line_no long, line string")
+    built = build_corpus(raw)
+    rows = {(r["section"], r["para_no"]): r for r in built.collect()}
+    assert rows[1, 1]["text_raw"] == text[1] and rows[1, 2]["text_raw"] == text[2] + "</small>" and rows[1, 2]["text"] == "שלום אלוהים"
+    assert set(rows) == {(1, 1), (1, 2), (1, 3), (2, 1)}
+    told = {(r["stage"], r["name"]): r["n"] for r in build_statistics(raw).collect()}
+    assert told["fixes", "orphans"] == 1 and told["fixes", "parentheses"] == 1 and told["fixes", "sections"] == 2 and told["terms", 'stem הקב"ה'] == 1 and told["fixes", "opens"] == told["fixes", "closes"] == 3
+
+
+def test_build_tells_what_cleaning_loses(spark):
+    raw = spark.createDataFrame([("f", 0, "Siman 1"), ("f", 1, "<small>עיין שם דבר</small>"), ("f", 2, "שלום")], "doc string, line_no long, line string")
+    with pytest.raises(RuntimeError, match="differ"):
+        build_corpus(raw)
+
+
+def test_chunks_are_numbered_by_paragraph(spark):
+    from corpusloom.operators.chunking import build_chunks
+
+    rows = spark.createDataFrame([(s, p, f"w{s} w{p}", "") for s in (1, 2, 10) for p in range(1, 13)], "section long, para_no long, text string, gloss string")
+    got = [(r["section"], r["paragraph"]) for r in build_chunks(rows, "paragraph").orderBy("chunk_id").collect()]
+    assert got == [(s, p) for s in (1, 2, 10) for p in range(1, 13)]
+    windows = build_chunks(rows, "sliding", size=10, overlap=5).orderBy("chunk_id").collect()
+    assert [r["window"] for r in windows] == list(range(len(windows))) == [r["chunk_id"] for r in windows]
+
+
+def test_corpus_round_trip(spark, tmp_path):
+    from corpusloom.sources import readers, writers
+
+    rows = [(1, 1, "a", "g", "raw a", "grp", "t"), (1, 2, None, None, "raw", "grp", "t"), (2, 1, "b", None, "raw b", "", "")]
+    table = spark.createDataFrame(rows, "section int, para_no int, text string, gloss string, text_raw string, group string, title string")
+    writers.write_corpus(table, str(tmp_path / "corpus"), "T", "S")
+    back = readers.read_corpus(spark, str(tmp_path / "corpus"), lines=True)
+    assert sorted(tuple(r) for r in back.select("section", "paragraph", F.coalesce("text", F.lit("-")), F.coalesce("gloss", F.lit("-")), "text_raw", "group", "title_of_section").collect()) == sorted((s, p, t or "-", g or "-", r, gr, ti) for s, p, t, g, r, gr, ti in rows)
+    assert {(r["title"], r["source"]) for r in back.collect()} == {("T", "S")}
+
+
+def test_commands(spark, tmp_path):
+    from corpusloom.plans import pipeline
+
+    (tmp_path / "lines.txt").write_text("Siman 1\n" + "\n".join(f"שורה {'א' * (k + 1)}" for k in range(11)) + "\nSiman 2\nעוד שורה\n", encoding="utf-8")
+    (tmp_path / "headings.txt").write_text("הלכות ציצית\nסימן 1 - ענין. ובו ב' סעיפים:\n", encoding="utf-8")
+    at = lambda name: str(tmp_path / name)
+    assert pipeline.main(["build", at("lines.txt"), at("headings.txt"), at("corpus")]) == 0
+    assert pipeline.main(["breadcrumb", at("corpus"), at("headings.txt"), at("crumbs")]) == 0
+    assert pipeline.main(["chunk", at("corpus"), at("chunks")]) == 0
+    assert pipeline.main(["embed", at("chunks"), at("vectors"), "--collection", "chunk_vectors"]) == 0
+    crumbs = {r["section"]: r["breadcrumb"] for r in spark.read.parquet(at("crumbs")).collect()}
+    assert crumbs == {1: "[הלכות ציצית > ענין]", 2: "[אורח חיים]"}
+    ids = {r["chunk_id"]: (r["section"], r["paragraph"]) for r in spark.read.parquet(at("chunks")).collect()}
+    assert ids == {**{k: (1, k + 1) for k in range(11)}, 11: (2, 1)} and spark.table("chunk_vectors").count() == 12
+
+
+def test_listings_and_saved_results(spark, tmp_path):
+    from corpusloom.operators import evaluation, retrieval
+
+    assert retrieval.list_retrievers() == ["vector", "rich"] and evaluation.list_evaluators() == ["retrieval", "answers"]
+    with pytest.warns(UserWarning, match="k_valuse"):
+        evaluation.get_evaluator("retrieval", k_valuse=[1])
+    for name, score in (("one", 0.2), ("two", 0.7)):
+        (tmp_path / f"{name}.json").write_text('{"metrics": {"mrr": %s, "n_total": 3, "recall_rate": {"1": 0.5}}}' % score)
+    assert [(r["place"], r["name"]) for r in evaluation.compare_saved(spark, str(tmp_path)).orderBy("place").collect()] == [(1, "two"), (2, "one")]

@@ -114,7 +114,7 @@ def test_sources(spark, tmp_path):
         readers.check_same_rows(held.limit(1), held)
     rows = table(spark, [(1, 1, "a", None, "r")], "section int, para_no int, text string, gloss string, text_raw string")
     writers.write_corpus(rows, str(tmp_path / "out"), "t", "s")
-    assert json.loads(next((tmp_path / "out").glob("*.json")).read_text())["paragraphs"][0]["gloss"] is None
+    assert json.loads(next((tmp_path / "out").glob("*.json")).read_text())["simanim"][0]["seifim"][0]["hagah"] is None
 
 
 def test_config(tmp_path):
