@@ -8,67 +8,93 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.encoding import QUERY, Encoder
+from corpusloom.sources.scratch import scratch_path, written
 
-#: Queries that are sent to the tasks at once: a block of them is what the driver collects and broadcasts.
+#: Queries that are sent to the tasks at once, as a matrix: a block of them is all that the driver ever holds.
 QUERY_BLOCK = 4096
+#: Vectors of the corpus that are scored at once; a task's matrix of scores has QUERY_BLOCK times as many cells.
+CORPUS_ROWS = 512
 
 
-def _block_hits(queries: list, corpus: DataFrame, top_k: int, skip_same: bool) -> DataFrame:
-    """The top_k best of each partition for each query of a block, ties with the last included."""
-    ids = np.array([q[0] for q in queries], dtype=np.int64)
-    matrix = np.array([q[1] for q in queries], dtype=np.float64)
-    sent = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
+def _best(query: np.ndarray, chunk: np.ndarray, score: np.ndarray, top_k: int) -> tuple:
+    order = np.lexsort((chunk, -score, query))
+    query, chunk, score = query[order], chunk[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query, side="left") < top_k
+    return query[keep], chunk[keep], score[keep]
 
-    def best(query: np.ndarray, chunk: np.ndarray, score: np.ndarray) -> tuple:
-        order = np.lexsort((chunk, -score, query))
-        query, chunk, score = query[order], chunk[order], score[order]
-        first = np.searchsorted(query, query, side="left")
-        keep = np.arange(len(query)) - first < top_k
-        return query[keep], chunk[keep], score[keep]
+
+def _ranked(sent, corpus: DataFrame, top_k: int, skip_same: bool) -> DataFrame:
+    """(q_id, rank, chunk_id, score) for a broadcast block of queries (ids, matrix): each task keeps its own best, a window ranks them."""
 
     def run(batches):
         own, q = sent.value
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        least = np.full(len(own), -np.inf)  # of each query that has top_k, the last score held
+        found, n_found = [held], 0
+
+        def merged() -> tuple:
+            kept = _best(*(np.concatenate(x) for x in zip(*found)), top_k)
+            end = np.cumsum(np.bincount(kept[0], minlength=len(own)))
+            full = np.diff(end, prepend=0) == top_k
+            least[full] = kept[2][end[full] - 1]
+            return kept
+
         for batch in batches:
-            chunk = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if not len(chunk):
-                continue
-            score = q @ flat.reshape(len(chunk), -1).T
-            if skip_same:
-                score[own[:, None] == chunk[None]] = -np.inf
-            if len(chunk) > top_k:
-                least = np.partition(score, len(chunk) - top_k, axis=1)[:, len(chunk) - top_k, None]
-                row, col = np.nonzero((score >= least) & np.isfinite(score))
-            else:
-                row, col = np.nonzero(np.isfinite(score))
-            held = best(*(np.concatenate(x) for x in zip(held, (row, chunk[col], score[row, col]))))
+            for at in range(0, batch.num_rows, CORPUS_ROWS):
+                part = batch.slice(at, CORPUS_ROWS)
+                chunk = part.column(0).to_numpy(zero_copy_only=False)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                score = q @ flat.reshape(len(chunk), -1).T
+                if skip_same:
+                    score[own[:, None] == chunk[None]] = -np.inf
+                near = (score >= least[:, None]) & np.isfinite(score)
+                if len(chunk) > top_k and np.count_nonzero(near) > top_k * len(own):
+                    near &= score >= np.partition(score, len(chunk) - top_k, axis=1)[:, len(chunk) - top_k, None]
+                row, col = np.nonzero(near)
+                found.append((row, chunk[col], score[row, col]))
+                n_found += len(row)
+                if n_found > top_k * len(own):
+                    held = merged()
+                    found, n_found = [held], 0
+        held = merged()
         yield pa.RecordBatch.from_arrays([pa.array(own[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["q_id", "chunk_id", "score"])
 
-    return corpus.select("chunk_id", "vector").mapInArrow(run, "q_id long, chunk_id long, score double")
+    found = corpus.mapInArrow(run, "q_id long, chunk_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.col("score").desc(), "chunk_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= top_k).select("q_id", "rank", "chunk_id", "score")
 
 
 def search(queries: DataFrame, corpus: DataFrame, top_k: int, skip_same: bool = False) -> DataFrame:
     """(q_id, rank, chunk_id, score): for each query (q_id, vector) the top_k of corpus (chunk_id, vector), unit vectors all.
 
     Best score first, then smaller chunk_id; top_k below 1 gives nothing. skip_same leaves out the chunk with the query's
-    own id. Queries go to the tasks in blocks, as a matrix; each task keeps its own best, and a window ranks what they found.
+    own id. Queries go to the tasks in blocks. Where there is more than one, the vectors are written to the shared folder
+    first, so that encoders run once; each block's hits are written there too, and its broadcast is given up before the next.
     """
+    spark = queries.sparkSession
+    none = spark.createDataFrame([], "q_id long, rank int, chunk_id long, score double")
     if top_k < 1:
-        return queries.sparkSession.createDataFrame([], "q_id long, rank int, chunk_id long, score double")
-    asked = queries.where("vector is not null").select(F.col("q_id").cast("long").alias("q_id"), "vector")
+        return none
+    asked = queries.where("vector is not null").select(F.col("q_id").cast("long").alias("q_id"), F.col("vector").cast("array<double>").alias("vector"))
     held = corpus.where("vector is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
+    if blocks > 1:
+        held, path = written(held, "vectors"), scratch_path(spark, "hits")
+        block_of = F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int").alias("block")
+        asked_path = scratch_path(spark, "queries")
+        asked.select("*", block_of).repartition("block").write.partitionBy("block").parquet(asked_path)
+        asked = spark.read.schema("q_id long, vector array<double>, block int").parquet(asked_path)
     for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK rows
-        if block:
-            hits = _block_hits(block, held, top_k, skip_same)
-            found = hits if found is None else found.union(hits)
-    if found is None:
-        return search(queries, corpus, 0)
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.col("score").desc(), "chunk_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top_k).select("q_id", "rank", "chunk_id", "score")
+        rows = (asked.where(F.col("block") == b) if blocks > 1 else asked).select("q_id", "vector").collect()  # about QUERY_BLOCK rows
+        if not rows:
+            continue
+        sent = spark.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)))
+        ranked = _ranked(sent, held, top_k, skip_same)
+        if blocks == 1:
+            return ranked
+        ranked.write.mode("append").parquet(path)
+        sent.destroy()
+    return spark.read.schema(none.schema).parquet(path) if blocks > 1 else none
 
 
 class Retriever:

@@ -149,3 +149,16 @@ def test_rich_fields_have_defaults(spark):
     assert (found["chunk_id"], found["summary"], found["questions"]) == (1, "", [])
     held = table(spark, [(7, [1.0])], "id long, v array<double>")
     assert PrecomputedEncoder(held, "id", "v").encode(table(spark, [(7, "x")], "q_id long, t string"), "q_id", "t").first()["vector"] == [1.0]
+
+
+def test_search_in_small_parts_with_ties(spark, monkeypatch):
+    """Few rows are scored at once, in several blocks; equal scores go to the smaller chunk."""
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(retrieval, "CORPUS_ROWS", 3)
+    vector = {i: [(1.0, 0.0), (0.0, 1.0), (0.6, 0.8)][i % 3] for i in range(40)}
+    corpus = table(spark, [(i, list(v)) for i, v in vector.items()] + [(99, None)], "chunk_id long, vector array<double>").coalesce(2)
+    asked = corpus.where("chunk_id < 17").withColumnRenamed("chunk_id", "q_id")
+    for k in (1, 4, 60):
+        got = sorted((r["q_id"], r["rank"], r["chunk_id"]) for r in retrieval.search(asked, corpus, k).collect())
+        score = lambda q, c: round(sum(a * b for a, b in zip(vector[q], vector[c])), 9)
+        assert got == [(q, i + 1, c) for q in range(17) for i, c in enumerate(sorted(vector, key=lambda c: (-score(q, c), c))[:k])]
