@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.scratch import written
+
 #: One white-space character and a run of other characters, as the operators understand words.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,31 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only in local mode, where there is one machine, may it be unset; then a temporary folder is used.
-    """
-    set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not set_to:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
-        own = getattr(shared_dir, "own", None)
-        if own is None:
-            own = shared_dir.own = tempfile.mkdtemp(prefix="corpusloom-")
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-        set_to = f"file://{own}"
-    return set_to.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """body(value), with value computed once per row: a lambda's variable is bound, while a repeated expression is not."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ROW_KEY, SPACE, join_groups, one_of_each, row_key, written
+from corpusloom.llm.common import ROW_KEY, SPACE, join_groups, one_of_each, row_key
+from corpusloom.sources.scratch import written
 
 #: Digests in one bucket of the hash, about: what one task holds at once is a few buckets of 48 bytes a digest.
 BUCKET_ROWS = 4096

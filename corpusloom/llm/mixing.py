@@ -14,7 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACE, WORD, n_words, written
+from corpusloom.llm.common import SPACE, WORD, n_words
+from corpusloom.sources.scratch import written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5

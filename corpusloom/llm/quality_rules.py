@@ -20,7 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, crc_of_id, let, words_of, written
+from corpusloom.llm.common import WORD, crc_of_id, let, words_of
+from corpusloom.sources.scratch import written
 
 MIN_WORDS = 50
 MAX_REPEATED = 50

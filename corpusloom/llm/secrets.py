@@ -19,7 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import let, written
+from corpusloom.llm.common import let
+from corpusloom.sources.scratch import written
 
 KINDS = ("assign", "access", "hex", "random")
 #: The fixed patterns, and the least length of what they must match (for assign, of its second group).

@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ROW_KEY, follow, join_groups, one_of_each, row_key, written
+from corpusloom.llm.common import ROW_KEY, follow, join_groups, one_of_each, row_key
+from corpusloom.sources.scratch import written
 
 SHINGLE = 4
 SEED = 42

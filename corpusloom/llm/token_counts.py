@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import bpe
-from corpusloom.llm.common import n_words, shared_dir, written
+from corpusloom.llm.common import n_words
+from corpusloom.sources.scratch import shared_dir, written
 
 log = logging.getLogger(__name__)
 

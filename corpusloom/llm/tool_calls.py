@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import follow, n_words, numbered, written
+from corpusloom.llm.common import follow, n_words, numbered
+from corpusloom.sources.scratch import written
 
 KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 #: Keywords of a JSON schema that fault() knows, and those that say nothing about a value.

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import crc_of_id, written
+from corpusloom.llm.common import crc_of_id
+from corpusloom.sources.scratch import written
 
 #: Windows of words, and how far apart they begin: each shares WINDOW - STRIDE words with the next.
 WINDOW, STRIDE = 64, 48
