@@ -29,8 +29,9 @@ BUDGET = 4
 STAGE_SHINGLE = 5
 FINGERPRINTS = 16
 SALTS = np.random.default_rng(SEED).integers(1, 1 << 63, FINGERPRINTS, dtype=np.uint64)
-#: Distinct fingerprints in one task of the trie join, about.
+#: Distinct fingerprints in one group of the trie join, about, and the least number of groups for a block of bits.
 GROUP_ROWS = 50_000
+LEAST_GROUPS = 16
 #: Node pairs that are expanded at once, and the largest pair that is compared leaf by leaf.
 FRONTIER = 1 << 16
 LEAF_PAIRS = 64
@@ -162,20 +163,25 @@ def links(nodes: DataFrame, n_nodes: int, budget: int = BUDGET) -> DataFrame:
     about GROUP_ROWS fingerprints, and each group returns a spanning forest, not all its pairs.
     """
     blocks = _blocks(BITS, budget)
-    parts = max(64, -(-n_nodes // GROUP_ROWS))
-    heads = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", BITS - at - width).bitwiseAND(F.lit((1 << width) - 1)).alias("head")) for k, (at, width) in enumerate(blocks)))
-    part = F.pmod(F.xxhash64("nth", "x.k", "x.head"), F.lit(parts))
-    dealt = nodes.select("nth", "fp", F.explode(heads).alias("x")).select("nth", "fp", F.col("x.k").alias("k"), part.alias("part"))
+    parts = max(LEAST_GROUPS, -(-n_nodes // GROUP_ROWS))
+
+    def group(k: int, at: int, width: int):
+        head = F.shiftrightunsigned("fp", BITS - at - width).bitwiseAND(F.lit((1 << width) - 1))
+        return (F.col("nth").cast("long") * len(blocks) + k) * parts + F.pmod(F.xxhash64("nth", F.lit(k), head), F.lit(parts))
+
+    # One number names fingerprint, block and part, so that a row in the shuffle is two longs.
+    dealt = nodes.select("fp", F.explode(F.array(*(group(k, *block) for k, block in enumerate(blocks)))).alias("group"))
 
     def join(found: pa.Table) -> pa.Table:
-        at, width = blocks[found.column("k")[0].as_py()]
+        nth, k = divmod(found.column("group")[0].as_py() // parts, len(blocks))
+        at, width = blocks[k]
         fp = found.column("fp").to_numpy().view(np.uint64)
         turned = np.sort((fp << np.uint64(at)) | (fp >> np.uint64(BITS - at)) if at else fp)
         leaf, root = trie_forest(turned, width, budget)
         back = (turned << np.uint64(BITS - at)) | (turned >> np.uint64(at)) if at else turned
-        return pa.table({"nth": pa.array(np.full(len(leaf), found.column("nth")[0].as_py()), pa.int32()), "a": back[leaf].view(np.int64), "b": back[root].view(np.int64)})
+        return pa.table({"nth": pa.array(np.full(len(leaf), nth), pa.int32()), "a": back[leaf].view(np.int64), "b": back[root].view(np.int64)})
 
-    return dealt.groupBy("nth", "k", "part").applyInArrow(join, "nth int, a long, b long").where("a <> b").distinct()
+    return dealt.groupBy("group").applyInArrow(join, "nth int, a long, b long").where("a <> b").distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
