@@ -185,6 +185,17 @@ def test_running_sum_is_in_order(spark):
     assert [r["n"] for r in got] == list(range(5000))
 
 
+def test_running_sum_of_a_hot_key_with_nulls(spark):
+    rows = [(None if k % 7 == 0 else 1 + k % 3 // 2, k, k % 5) for k in range(3000)]
+    got = running_sum(spark.createDataFrame(rows, "k long, t long, v long"), "k", "v", "n", "t").collect()
+    want, total = {}, 0
+    for k, t, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        want[t] = total
+        total += v
+    assert {r["t"]: r["n"] for r in got} == want
+    assert running_sum(spark.createDataFrame([], "k long, v long"), "k", "v", "n").count() == 0
+
+
 def test_nesting_and_alignment(paragraphs):
     full = paragraphs.withColumn("text_raw", F.lit("r"))
     back = enrich.unnest(enrich.nest(full)).select("section", F.col("para_no").cast("long"), "text", "gloss")
