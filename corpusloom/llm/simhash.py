@@ -217,10 +217,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def further_links(prints: DataFrame, n_nodes: int, budget: int) -> DataFrame:
     """(a, b) of first fingerprints whose texts some other fingerprint links. Of texts with one such, the least stands for all."""
-    each = prints.select("fp", "fps").dropDuplicates(["fp", "fps"]).select(F.col("fp").alias("first"), F.posexplode("fps").alias("nth", "fp"))
-    named = written(each.select(F.struct("nth", "fp").alias("node"), "first").distinct(), "further")
-    nodes = written(named.groupBy("node").agg(F.min("first").alias("least"), F.count("*").alias("n")), "nodes")
-    own = join_groups(named, nodes, "node", "n", named.count()).select(F.col("first").alias("a"), F.col("least").alias("b"))
+    each = written(prints.select("fp", "fps").dropDuplicates(["fp", "fps"]), "distinct")
+    named = each.select(F.col("fp").alias("first"), F.posexplode("fps").alias("nth", "fp")).select(F.struct("nth", "fp").alias("node"), "first")
+    nodes = written(named.groupBy("node").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.count("*").alias("n")), "nodes")
+    shared = nodes.where("least <> most").select("node", "least", "n")  # a node of one first fingerprint links nothing by itself
+    own = join_groups(named, shared, "node", "n", named.count()).select(F.col("first").alias("a"), F.col("least").alias("b"))
     found = written(links(nodes.select("node.*"), n_nodes, budget), "links")
     end = lambda of, at: follow(of, "node", nodes.select("node", F.col("least").alias(at))).drop("node")
     left = end(found.select(F.struct("nth", F.col("a").alias("fp")).alias("node"), F.struct("nth", F.col("b").alias("fp")).alias("to")), "a")
