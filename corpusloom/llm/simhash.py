@@ -27,7 +27,7 @@ BITS = 64
 BUDGET = 4
 #: Words in a shingle and fingerprints of a text in the stage, and what mixes the hashes for all but the first.
 STAGE_SHINGLE = 5
-FINGERPRINTS = 32
+FINGERPRINTS = 24
 SALTS = np.random.default_rng(SEED).integers(1, 1 << 63, FINGERPRINTS, dtype=np.uint64)
 #: Distinct fingerprints in one group of the trie join, about, and the least number of groups for a block of bits.
 GROUP_ROWS = 50_000
