@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, exact_dedup, mixing, quality_rules, secrets, simhash, token_counts, tool_calls, toxicity, url_rules
+from corpusloom.llm import bpe, exact_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, spelling_variants, token_counts, tool_calls, toxicity, url_rules
 
 QUERIES = {
     "op1_secrets": secrets.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_token_counts": token_counts.query,
     "op10_url_rules": url_rules.query,
+    "op11_spelling_variants": spelling_variants.query,
+    "op12_quality_classifier": quality_classifier.query,
 }
 
 ORACLES = {
