@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.refs import breadcrumb, heading
 from corpusloom.functions.text import strip
+from corpusloom.operators.carry import carried
 
 
 def heading_map(lines: DataFrame) -> DataFrame:
@@ -14,9 +15,8 @@ def heading_map(lines: DataFrame) -> DataFrame:
 
     A section without a description has its group as title.
     """
-    so_far = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parsed = lines.where(strip(F.col("line")) != "").withColumn("h", heading(F.col("line")))
-    filled = parsed.withColumn("group", F.coalesce(F.last("h.group", ignorenulls=True).over(so_far), F.lit(""))).where("h.section is not null")
+    filled = carried(parsed, lasts={"group": F.col("h.group")}).withColumn("group", F.coalesce("group", F.lit(""))).where("h.section is not null")
     row = F.struct("doc", "line_no", F.col("group"), F.coalesce("h.title", "group").alias("title"))
     last = filled.groupBy(F.col("h.section").alias("section")).agg(F.max(row).alias("row"))
     return last.select("section", "row.group", "row.title")

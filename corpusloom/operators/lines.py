@@ -1,12 +1,14 @@
-"""Line algebra. Lines are rows (doc, line_no, line); order is always explicit, and windows stay within one doc."""
+"""Line algebra. Lines are rows (doc, line_no, line); order is always explicit, and windows stay within a range of one doc."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import markup
 from corpusloom.functions.text import strip, tidy_line
+from corpusloom.operators.carry import carried
+from corpusloom.sources.scratch import written
 
 NEWLINE = "\r\n|\r|\n"
 # The lines that mark sections, and those that belong to a file's head.
@@ -42,17 +44,9 @@ def has_text(line: Column) -> Column:
     return strip(F.regexp_replace(line, "</?small>", "")) != ""
 
 
-def _by_doc() -> Window:
-    return Window.partitionBy("doc").orderBy("line_no")
-
-
-def _so_far() -> Window:
-    return _by_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def forward_fill(rows: DataFrame, value: Column, out: str, window=None) -> DataFrame:
-    """rows with the latest value that is not null, up to each row."""
-    return rows.withColumn(out, F.last(value, ignorenulls=True).over(window or _so_far()))
+def forward_fill(rows: DataFrame, value: Column, out: str, **how) -> DataFrame:
+    """rows with the latest value that is not null, up to each row; how: by, order and range_of of carried()."""
+    return carried(rows, lasts={out: value}, **how)
 
 
 def sections(lines: DataFrame, marker: Column | None = None, number: Column | None = None) -> DataFrame:
@@ -61,34 +55,32 @@ def sections(lines: DataFrame, marker: Column | None = None, number: Column | No
     Sections are told apart by their place, so a number that comes again begins another section. Headers and lines without
     text are left out.
     """
-    marker = is_section(F.col("line")) if marker is None else marker
-    number = F.regexp_extract(strip(F.col("line")), SECTION, 1) if number is None else number
-    marked = lines.withColumn("marks", marker).withColumn("section_ord", F.sum(F.col("marks").cast("long")).over(_so_far()))
-    filled = forward_fill(marked, F.when(F.col("marks"), number), "section")
-    content = filled.where(~F.col("marks") & (F.col("section_ord") > 0) & (strip(F.col("line")) != "") & ~is_header(F.col("line")) & has_text(F.col("line")))
-    numbered = content.withColumn("para_no", F.row_number().over(Window.partitionBy("doc", "section_ord").orderBy("line_no")).cast("long"))
-    return numbered.select("doc", "section_ord", "section", "para_no", "line_no", "line")
+    line = F.col("line")
+    marker = is_section(line) if marker is None else marker
+    number = F.regexp_extract(strip(line), SECTION, 1) if number is None else number
+    marked = lines.withColumn("marks", marker).withColumn("content", ~F.col("marks") & (strip(line) != "") & ~is_header(line) & has_text(line))
+    filled = carried(marked, sums={"section_ord": F.col("marks").cast("long")}, lasts={"section": F.when(F.col("marks"), number)}, since={"para_no": (F.col("content").cast("long"), F.col("marks"))})
+    return filled.where(F.col("content") & (F.col("section_ord") > 0)).select("doc", "section_ord", "section", "para_no", "line_no", "line")
 
 
 def collapse_blank_lines(lines: DataFrame) -> DataFrame:
     """Of each run of blank lines the first stays."""
-    blank = strip(F.col("line")) == ""
-    marked = lines.withColumn("blank", blank).withColumn("after_blank", F.coalesce(F.lag("blank").over(_by_doc()), F.lit(False)))
-    return marked.where(~(F.col("blank") & F.col("after_blank"))).drop("blank", "after_blank")
+    marked = carried(lines.withColumn("blank", strip(F.col("line")) == ""), before={"after_blank": F.col("blank")})
+    return marked.where(~(F.col("blank") & F.coalesce("after_blank", F.lit(False)))).drop("blank", "after_blank")
 
 
 def insert_separators(lines: DataFrame, started: Column | None = None) -> DataFrame:
     """An empty line between content lines that follow each other, from the first section on; part tells it (0) from the line (1)."""
-    marked = lines.withColumn("content", is_content(F.col("line"))).withColumn("after", F.coalesce(F.lag("content").over(_by_doc()), F.lit(False)))
-    begun = F.max(is_section(F.col("line"))).over(_so_far()) if started is None else started
-    both = F.when(begun & F.col("content") & F.col("after"), F.array(F.lit(""), F.col("line"))).otherwise(F.array("line"))
+    begun = {"begun": F.when(is_section(F.col("line")) if started is None else started, F.lit(True))}
+    marked = carried(lines.withColumn("content", is_content(F.col("line"))), before={"after": F.col("content")}, lasts=begun)
+    both = F.when(F.col("begun") & F.col("content") & F.col("after"), F.array(F.lit(""), F.col("line"))).otherwise(F.array("line"))
     placed = marked.withColumn("both", both).select("doc", "line_no", F.size("both").alias("n"), F.posexplode("both").alias("k", "line"))
     return placed.select("doc", "line_no", (F.col("k") + 2 - F.col("n")).cast("long").alias("part"), "line")
 
 
 def merge_lines(lines: DataFrame, continues: Column, keep_leading: bool = True) -> DataFrame:
     """Lines that continue the one before are appended to it. Leading ones have nothing before: kept as one line, or dropped."""
-    grouped = lines.withColumn("head", F.sum((~continues).cast("long")).over(_so_far()))
+    grouped = carried(lines, sums={"head": (~continues).cast("long")})
     if not keep_leading:
         grouped = grouped.where("head > 0")
     merged = grouped.groupBy("doc", "head").agg(F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("parts"))
@@ -102,10 +94,11 @@ def merge_orphan_tags(lines: DataFrame, keep_leading: bool = True) -> DataFrame:
 
 
 def basic_fixes(lines: DataFrame) -> DataFrame:
-    """Orphan tags, parentheses, white space and separators, in this order; line_no is renumbered."""
+    """Orphan tags, parentheses, white space and separators, in this order; line_no is renumbered. What two steps read is written."""
     merged = merge_orphan_tags(lines, keep_leading=False).withColumn("line", tidy_line(markup.close_parentheses(F.col("line"))))
-    spread = insert_separators(merged)
-    return spread.withColumn("line_no", F.row_number().over(Window.partitionBy("doc").orderBy("line_no", "part")).cast("long") - 1).drop("part")
+    spread = written(insert_separators(written(merged, "merged")), "spread")
+    placed = carried(spread, sums={"place": F.lit(1).cast("long")}, order=("line_no", "part"))
+    return placed.select("doc", (F.col("place") - 1).alias("line_no"), "line")
 
 
 def tag_balance(lines: DataFrame, opening: str = markup.OPEN, closing: str = markup.CLOSE, text: str = "line") -> DataFrame:

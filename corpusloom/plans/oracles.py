@@ -12,6 +12,7 @@ WORDS = lambda x: f"list_filter(regexp_split_to_array({x}, '[{S}]+'), lambda w:
 LATIN, HEBREW = "bcdfghjklmnpqrstvwxyzaeiou", "בגדפהחיכלמנסקרשתועצטז" + "ִֶָֹֻ"
 
 LINES = r"""l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS line_no FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\r|\n') AS x FROM documents))"""
+ONE = f"{LINES}, one AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS line_no, line FROM l)"
 PARAGRAPHS = f"""{LINES}, p AS (
   SELECT doc_id AS section, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS para_no, line AS text_raw,
          nullif({STRIP("string_split(line, '|')[1]")}, '') AS text,
@@ -79,6 +80,19 @@ SELECT doc_id, line_no, 1::BIGINT AS part, line FROM b UNION ALL SELECT doc_id,
     "merge_continuation_lines": rf"""WITH {LINES}, s AS (SELECT *, sum((regexp_matches(line, '^\p{{Lu}}') OR line_no = 0)::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS head FROM l)
 SELECT doc_id, min(line_no) AS line_no, string_agg(line, '' ORDER BY line_no) AS line FROM s GROUP BY doc_id, head""",
     "forward_fill_group": "SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_purchase FROM events",
+    "one_document_sections": rf"""WITH {ONE}, s AS (SELECT *, len({WORDS('line')}) BETWEEN 1 AND 3 AS mark FROM one),
+o AS (SELECT *, sum(mark::INT) OVER w AS section_ord, last_value(CASE WHEN mark THEN length(line)::VARCHAR END IGNORE NULLS) OVER w AS section FROM s WINDOW w AS (ORDER BY line_no ROWS UNBOUNDED PRECEDING))
+SELECT section_ord::BIGINT AS section_ord, section, row_number() OVER (PARTITION BY section_ord ORDER BY line_no) AS para_no, line_no
+FROM o WHERE NOT mark AND section_ord > 0 AND {STRIP("regexp_replace(line, '</?small>', '', 'g')")} <> '' AND NOT regexp_matches({STRIP('line')}, '^(Shulchan|שולחן|Torat|http)')""",
+    "one_document_blank_lines": rf"""WITH {ONE}, s AS (SELECT line_no, CASE WHEN regexp_matches(line, '^[A-M]') THEN line ELSE ' ' END AS line FROM one),
+b AS (SELECT *, {STRIP('line')} = '' AS blank, coalesce(lag({STRIP('line')} = '') OVER (ORDER BY line_no), false) AS after FROM s)
+SELECT line_no, line FROM b WHERE NOT (blank AND after)""",
+    "one_document_separators": rf"""WITH {ONE}, s AS (SELECT *, {STRIP('line')} <> '' AND NOT regexp_matches({STRIP('line')}, '^Siman \d+$|^(Shulchan|שולחן|Torat|http)') AS content FROM one),
+b AS (SELECT *, coalesce(lag(content) OVER (ORDER BY line_no), false) AS after, max(regexp_matches(line, '^[Tt]h')::INT) OVER (ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS begun FROM s)
+SELECT line_no, 1::BIGINT AS part, line FROM b UNION ALL SELECT line_no, 0, '' FROM b WHERE begun = 1 AND content AND after""",
+    "one_document_merge": rf"""WITH {ONE}, s AS (SELECT *, sum(regexp_matches(line, '^\p{{Lu}}')::INT) OVER (ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS head FROM one)
+SELECT min(line_no) AS line_no, string_agg(line, '' ORDER BY line_no) AS line FROM s GROUP BY head""",
+    "one_document_groups": f"WITH {ONE} SELECT line_no, last_value(CASE WHEN len({WORDS('line')}) <= 2 THEN line END IGNORE NULLS) OVER (ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS heading FROM one",
     "tag_balance": "WITH c AS (SELECT sum(len(string_split(html, '<p>')) - 1)::BIGINT AS opens, sum(len(string_split(html, '</p>')) - 1)::BIGINT AS closes FROM pages) SELECT opens, closes, opens = closes AS balanced FROM c",
     "whitespace_normalize": f"SELECT doc_id, trim(regexp_replace(text, '[{S}]+', ' ', 'g')) AS text, len({WORDS('text')})::BIGINT AS word_count FROM documents",
     "tidy_lines": f"WITH {LINES} SELECT doc_id, line_no, regexp_replace(regexp_replace(line, '  +', ' ', 'g'), '[{S}]+$', '') AS line FROM l",

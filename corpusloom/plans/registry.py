@@ -16,6 +16,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import chat, chunking, enrich, evaluation, retrieval
 from corpusloom.operators import lines as L
 from corpusloom.operators.encoding import PASSAGE, QUERY, HashingEncoder, prefixed
+from corpusloom.operators.prefix import running_sum
 from corpusloom.plans.hebrew_oracles import ORACLES as HEBREW_ORACLES
 from corpusloom.plans.oracles import ORACLES as PLAIN_ORACLES
 
@@ -100,9 +101,48 @@ def merge_continuation_lines(spark, sf_dir):
 
 @query
 def forward_fill_group(spark, sf_dir):
-    """For every event of a user, the latest purchase up to it."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return L.forward_fill(read(spark, sf_dir, "events"), F.when(F.col("event_type") == "purchase", F.col("event_id")), "last_purchase", order).select("event_id", "user_id", "last_purchase")
+    """For every event of a user, the latest purchase up to it. A user's events are scanned by days."""
+    purchase = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    day = F.coalesce(F.to_date("ts"), F.lit("0001-01-01").cast("date"))
+    return L.forward_fill(read(spark, sf_dir, "events"), purchase, "last_purchase", by="user_id", order=("ts", "event_id"), range_of=day).select("event_id", "user_id", "last_purchase")
+
+
+def one_document(spark, sf_dir) -> DataFrame:
+    """The lines of all documents as one document, numbered through."""
+    counted = read(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", L.NEWLINE)).cast("long").alias("n"))
+    first = running_sum(counted.where("n > 0"), "doc_id", "n", "first").select(F.col("doc_id").alias("of"), "first")
+    met = lines(spark, sf_dir).join(first, F.col("doc") == F.col("of"))
+    return met.select(F.lit(0).cast("long").alias("doc"), (F.col("first") + F.col("line_no")).alias("line_no"), "line")
+
+
+@query
+def one_document_sections(spark, sf_dir):
+    """The sections of section_forward_fill, in one document of all lines."""
+    few = T.word_count(F.col("line")).between(1, 3)
+    return L.sections(one_document(spark, sf_dir), few, F.length("line").cast("string")).select("section_ord", "section", "para_no", "line_no")
+
+
+@query
+def one_document_blank_lines(spark, sf_dir):
+    shown = one_document(spark, sf_dir).withColumn("line", F.when(F.col("line").rlike("^[A-M]"), F.col("line")).otherwise(F.lit(" ")))
+    return L.collapse_blank_lines(shown).select("line_no", "line")
+
+
+@query
+def one_document_separators(spark, sf_dir):
+    return L.insert_separators(one_document(spark, sf_dir), F.col("line").rlike("^[Tt]h")).drop("doc")
+
+
+@query
+def one_document_merge(spark, sf_dir):
+    return L.merge_lines(one_document(spark, sf_dir), ~F.col("line").rlike(r"^\p{Lu}")).drop("doc")
+
+
+@query
+def one_document_groups(spark, sf_dir):
+    """For every line, the latest line of two words at most, as a heading."""
+    heading = F.when(T.word_count(F.col("line")) <= 2, F.col("line"))
+    return L.forward_fill(one_document(spark, sf_dir), heading, "heading").select("line_no", "heading")
 
 
 @query

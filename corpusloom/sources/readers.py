@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.enrich import heading_map, require
-from corpusloom.operators.lines import explode_lines
 from corpusloom.sources import schemas
+from corpusloom.sources.scratch import written
+
+
+#: Blocks of files whose first line numbers are sent to all tasks, at most; where there are more, lines and blocks are joined by a shuffle.
+BLOCKS_SENT = 200_000
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, line_no, line) of text files; doc is the file. A file is read whole, as only so are its lines in order."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), F.regexp_replace("value", "(\r\n|\r|\n)$", "").alias("text"))
-    return explode_lines(whole, "doc", "text")
+    """(doc, line_no, line) of text files, line_no from 0; doc is the file. An empty file has no lines.
+
+    Files are read in blocks, by as many tasks as there are; a line belongs to the block in which it begins. The lines of each
+    block are counted first, and then numbered from the counts of the blocks before it, by their places in the file.
+    """
+    place = F.monotonically_increasing_id()  # rises by one from line to line of a block, which one task reads
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_block_start").alias("_block"), place.alias("_place"), F.col("value").alias("line"))
+    before = Window.partitionBy("_doc").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = read.groupBy(F.col("doc").alias("_doc"), "_block").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    blocks = written(counts.select("_doc", F.col("_block").alias("_of"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset")), "blocks")
+    sent = F.broadcast(blocks) if blocks.count() <= BLOCKS_SENT else blocks
+    met = read.join(sent, (F.col("doc") == F.col("_doc")) & (F.col("_block") == F.col("_of")))
+    return met.select("doc", (F.col("_offset") + F.col("_place")).alias("line_no"), "line")
 
 
 def read_corpus(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
