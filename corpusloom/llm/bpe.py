@@ -43,7 +43,7 @@ def default_tokenizer() -> str:
     return tokenizer_path("word_bpe_49k.json")
 
 
-def _byte_signs() -> list[str]:
+def byte_signs() -> list[str]:
     """The printable sign that stands for each byte in byte-level vocabularies: itself if printable Latin-1, else the next from U+0100."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
     return [chr(b) if b in own else chr(256 + b - sum(x < b for x in own)) for b in range(256)]
@@ -92,7 +92,7 @@ class ForcedBoundaryBPE:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.token |= {i: t for t, i in self.special.items()}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.signs = _byte_signs()
+        self.signs = byte_signs()
         byte = {c: b for b, c in enumerate(self.signs)}
         met = bytearray(1 << 16)
         for t in self.vocab:

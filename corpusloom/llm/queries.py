@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, exact_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, spelling_variants, token_counts, tool_calls, toxicity, url_rules
+from corpusloom.llm import bpe, cross_tokens, exact_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, spelling_variants, token_counts, tool_calls, toxicity, url_rules
 
 QUERIES = {
     "op1_secrets": secrets.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_rules": url_rules.query,
     "op11_spelling_variants": spelling_variants.query,
     "op12_quality_classifier": quality_classifier.query,
+    "op13_cross_tokens": cross_tokens.query,
 }
 
 ORACLES = {
