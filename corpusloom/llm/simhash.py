@@ -5,9 +5,9 @@ and a component. A null doc_id counts for no minimum; a component of such rows o
 whole, whatever their length. Columns other than doc_id and text are carried along by the stage, whatever their names, and
 ignored otherwise; an empty table gives an empty result.
 
-One fingerprint links texts that agree in 60 of 64 bits, and so but a part of those whose shingles are 0.8 alike or more. The
-stage gives each text FINGERPRINTS of them, over shingles of five words, from as many mixings of the shingles' hashes, and texts are linked if any one
-links them; the README has the share of pairs that this finds.
+The stage takes shingles of five words and links texts whose sets of them are SIMILAR or more alike (Jaccard). One fingerprint links but a part of
+these, so the trie join gives some of the pairs that are looked at, and BANDS of smallest hashes give the others. No pair is a link before its sets are
+compared, and no text is dropped that is not so alike to a linked one; the README has the share of pairs that are found. Texts without words are alike.
 """
 
 from __future__ import annotations
@@ -25,10 +25,13 @@ SHINGLE = 4
 SEED = 42
 BITS = 64
 BUDGET = 4
-#: Words in a shingle and fingerprints of a text in the stage, and what mixes the hashes for all but the first.
-STAGE_SHINGLE = 5
-FINGERPRINTS = 24
-SALTS = np.random.default_rng(SEED).integers(1, 1 << 63, FINGERPRINTS, dtype=np.uint64)
+#: Words in a shingle of the stage, and the least similarity of linked texts.
+STAGE_SHINGLE, SIMILAR = 5, 0.8
+#: Bands of a text and smallest hashes in each, and what mixes the hashes for them; a mixing has two halves.
+BANDS, MINIMA = 16, 6
+SALTS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * MINIMA // 2, dtype=np.uint64)
+#: Texts that are compared with one other in a group, about; pairs in a group; and keys that are broadcast at most.
+SLICE, DEAL_PAIRS, KEYS_SENT = 256, 4000, 500_000
 #: Distinct fingerprints in one group of the trie join, about, and the least number of groups for a block of bits.
 GROUP_ROWS = 50_000
 LEAST_GROUPS = 16
@@ -51,38 +54,51 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), dtype=np.uint64, count=len(starts))
 
 
-def _mixed(hashes: np.ndarray, count: int) -> np.ndarray:
-    """[hash, fingerprint]: the hashes themselves, and count - 1 mixings of them."""
-    x = (hashes[:, None] ^ SALTS[1:count]) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.concatenate([hashes[:, None], x ^ x >> np.uint64(32)], axis=1)
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of shingles' hashes as a signed long."""
+    if not len(hashes):
+        return 0
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1).sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, count: int = 1) -> list[int]:
-    """The 64-bit SimHashes of a text as signed longs."""
-    hashes = shingle_hashes(text, shingle)
-    if not len(hashes):
-        return [0] * count
-    ones = np.zeros(BITS * count, dtype=np.int64)
-    step = (1 << 16) // count
-    for at in range(0, len(hashes), step):
-        part = _mixed(hashes[at : at + step], count).astype(">u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8 * count), axis=1).sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * ones > len(hashes)).view(">i8").tolist()
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return fingerprint_of(shingle_hashes(text, shingle))
+
 
+def bands_of(hashes: np.ndarray) -> np.ndarray:
+    """A hash for each band: of the smallest of the shingles' hashes under MINIMA mixings. Sets that are s alike share a band's with a chance of s ** MINIMA."""
+    least = np.full((len(SALTS), 2), 0xFFFFFFFF, dtype=np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        x = (hashes[None, at : at + (1 << 12)] ^ SALTS[:, None]) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        np.minimum(least[:, 0], (x >> np.uint64(32)).min(axis=1), out=least[:, 0])
+        np.minimum(least[:, 1], (x & np.uint64(0xFFFFFFFF)).min(axis=1), out=least[:, 1])
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for part in least.reshape(BANDS, MINIMA).T:
+        out = (out ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+    return out.view(np.int64)
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, count: int = 1) -> DataFrame:
-    """(doc_id, fp, fps, ROW_KEY) for every row of docs: fp is the first of its count fingerprints, fps the others."""
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, bands: bool = False) -> DataFrame:
+    """(doc_id, fp, ROW_KEY) for every row of docs, with the hashes of its bands if asked for."""
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(t, shingle, count) for t in batch.column(2).to_pylist()]
-            fp, fps = pa.array([x[0] for x in found], pa.int64()), pa.array([x[1:] for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp, fps, batch.column(1)], names=["doc_id", "fp", "fps", ROW_KEY])
+            hashes = [shingle_hashes(t, shingle) for t in batch.column(2).to_pylist()]
+            columns = [batch.column(0), pa.array([fingerprint_of(h) for h in hashes], pa.int64()), batch.column(1)]
+            if bands:
+                columns.append(pa.array([bands_of(h) for h in hashes], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", ROW_KEY, "bands"][: len(columns)])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), row_key(F.col("doc_id"), text).alias(ROW_KEY), text).mapInArrow(run, f"doc_id long, fp long, fps array<long>, {ROW_KEY} binary")
+    named = docs.select(F.col("doc_id").cast("long"), row_key(F.col("doc_id"), text).alias(ROW_KEY), text)
+    return named.mapInArrow(run, f"doc_id long, fp long, {ROW_KEY} binary" + ", bands array<long>" * bands)
 
 
 def _roots(label: np.ndarray) -> np.ndarray:
@@ -215,33 +231,93 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return edges.select("v", F.col("u").alias("root"))
 
 
-def further_links(prints: DataFrame, n_nodes: int, budget: int) -> DataFrame:
-    """(a, b) of first fingerprints whose texts some other fingerprint links. Of texts with one such, the least stands for all."""
-    each = written(prints.select("fp", "fps").dropDuplicates(["fp", "fps"]), "distinct")
-    named = each.select(F.col("fp").alias("first"), F.posexplode("fps").alias("nth", "fp")).select(F.struct("nth", "fp").alias("node"), "first")
-    nodes = written(named.groupBy("node").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.count("*").alias("n")), "nodes")
-    shared = nodes.where("least <> most").select("node", "least", "n")  # a node of one first fingerprint links nothing by itself
-    own = join_groups(named, shared, "node", "n", named.count()).select(F.col("first").alias("a"), F.col("least").alias("b"))
-    found = written(links(nodes.select("node.*"), n_nodes, budget), "links")
-    end = lambda of, at: follow(of, "node", nodes.select("node", F.col("least").alias(at))).drop("node")
-    left = end(found.select(F.struct("nth", F.col("a").alias("fp")).alias("node"), F.struct("nth", F.col("b").alias("fp")).alias("to")), "a")
-    return own.union(end(left.withColumnRenamed("to", "node"), "b").select("a", "b")).where("a <> b")
-
-
-def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, count: int = 1) -> DataFrame:
-    """One row per row of docs: doc_id, fp (long), root (the least fp of the component), component_id (the smallest doc_id
-    reachable over links of any of its count fingerprints) and ROW_KEY."""
-    prints = written(fingerprints(docs, shingle, count), "fingerprints")
+def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
+    """One row per row of docs: doc_id, fp (long) and component_id (the smallest doc_id reachable over links of fingerprints)."""
+    prints = written(fingerprints(docs, shingle), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "nodes")
     n_nodes, n_rows = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
-    edges = links(nodes.select(F.lit(0).alias("nth"), "fp"), n_nodes, budget).select("a", "b")
-    if count > 1:
-        edges = edges.union(further_links(prints, n_nodes, budget))
-    root_of = components(edges)
+    root_of = components(links(nodes.select(F.lit(0).alias("nth"), "fp"), n_nodes, budget).select("a", "b"))
     rooted = written(nodes.join(root_of, nodes.fp == root_of.v, "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
-    member = join_groups(rooted, least, "root", "n", n_nodes).select("fp", "root", "component_id", "copies")
-    return join_groups(prints.drop("fps"), member, "fp", "copies", n_rows).select("doc_id", "fp", "root", "component_id", ROW_KEY)
+    member = join_groups(rooted, least, "root", "n", n_nodes).select("fp", "component_id", "copies")
+    return join_groups(prints, member, "fp", "copies", n_rows).select("doc_id", "fp", "component_id")
+
+
+def band_pairs(prints: DataFrame) -> DataFrame:
+    """(one, other) of texts that share a band: each with the one that shares most of all in that band, and with its first and last by key.
+
+    prints: (key, bands). Copies of one text all meet the text that they were made from, as it shares the most bands, so no group is paired with itself.
+    """
+    spread = prints.select(F.explode("bands").alias("band"), "key")
+    met = written(spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    shared = written(join_groups(spread, met, "band", "n", BANDS * prints.count()), "shared")
+    weight = shared.groupBy("key").agg(F.sum("n").alias("weight"))
+    first = shared.join(weight, "key").groupBy("band").agg(F.max_by("key", F.struct("weight", "key")).alias("most"), F.min("key").alias("least"), F.max("key").alias("last"), F.count("*").alias("n"))
+    met = join_groups(shared.drop("n"), first, "band", "n", shared.count())
+    return met.select(F.explode(F.array_distinct(F.array("most", "least", "last"))).alias("one"), F.col("key").alias("other")).where("one <> other").distinct()
+
+
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """(one, other) of texts (key, fp) whose fingerprints are the same or linked by the trie join; of texts with one such the least stands for all."""
+    nodes = written(prints.groupBy("fp").agg(F.min("key").alias("one"), F.count("*").alias("n")), "nodes")
+    n_nodes, n_rows = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    same = join_groups(prints.select("fp", F.col("key").alias("other")), nodes.where("n > 1"), "fp", "n", n_rows).select("one", "other")
+    found = written(links(nodes.select(F.lit(0).alias("nth"), "fp"), n_nodes).select("a", "b"), "links")
+    end = lambda of, at, name: follow(of.withColumnRenamed(at, "fp"), "fp", nodes.select("fp", F.col("one").alias(name))).drop("fp")
+    return same.union(end(end(found, "a", "one"), "b", "other").select("one", "other")).where("one <> other")
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard of two sorted sets; that of two empty ones is 1."""
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def shingle_sets(docs: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
+    """(key, shingles) of the rows of docs whose key is in keys: their distinct hashes in order, eight bytes each. Of rows with one key, one."""
+    own = docs.select(row_key(F.col("doc_id"), F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
+    some = own.join(F.broadcast(keys) if keys.count() <= KEYS_SENT else keys, "key", "left_semi")
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["key", "shingles"])
+
+    return some.mapInArrow(run, "key binary, shingles binary").dropDuplicates(["key"])
+
+
+def alike(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Those of the written pairs (one, other) whose sets (key, shingles) are least or more alike, as (a, b).
+
+    The others of a text are cut into slices, each of which gets the set of that text once.
+    """
+    ones = pairs.groupBy("one").agg(F.count("*").alias("n")).withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int"))
+    ones = written(ones, "ones")
+    deals = max(16, -(-pairs.count() // DEAL_PAIRS))
+    sliced = join_groups(pairs, ones, "one", "n", pairs.count()).withColumn("slice", F.pmod(F.xxhash64("other"), F.col("slices")).cast("int"))
+    deal = F.pmod(F.xxhash64("one", "slice"), F.lit(deals))
+    others = sliced.withColumnRenamed("other", "key").join(sets, "key").select("one", F.col("key").alias("other"), "shingles", deal.alias("deal"))
+    sent = ones.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumnRenamed("one", "key").join(sets, "key").withColumnRenamed("key", "one")
+    sent = sent.select(F.col("one").alias("base"), F.col("shingles").alias("base_shingles"), deal.alias("base_deal"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = {k: np.frombuffer(s, np.uint64) for k, s in zip(right.column("base").to_pylist(), right.column("base_shingles").to_pylist())}
+        rows = zip(*(left.column(c).to_pylist() for c in ("one", "other", "shingles")))
+        kept = [(a, b) for a, b, s in rows if similarity(held[a], np.frombuffer(s, np.uint64)) >= least]
+        return pa.table({"a": pa.array([a for a, _ in kept], pa.binary()), "b": pa.array([b for _, b in kept], pa.binary())})
+
+    return others.groupBy("deal").cogroup(sent.groupBy("base_deal")).applyInArrow(compare, "a binary, b binary")
+
+
+def near_copies(docs: DataFrame, least: float = SIMILAR, shingle: int = STAGE_SHINGLE) -> DataFrame:
+    """(key, doc_id, root) of the distinct rows of docs, by id and text: key is their ROW_KEY, root the least key that links lead to."""
+    prints = fingerprints(docs, shingle, bands=True).withColumnRenamed(ROW_KEY, "key").dropDuplicates(["key"])
+    prints = written(prints, "fingerprints")
+    pairs = written(band_pairs(prints).union(fingerprint_pairs(prints)).distinct(), "pairs")
+    keys = written(pairs.select("one").union(pairs.select("other")).distinct().toDF("key"), "keys")
+    sets = written(shingle_sets(docs, keys, shingle), "sets")
+    root_of = components(alike(pairs, sets, least)).withColumnRenamed("v", "key")
+    return prints.select("key", "doc_id").join(root_of, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -250,10 +326,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that with its smallest doc_id, and where rows share that, one of them.
+    """One document of each group of near copies stays: that with its smallest doc_id (null sorts last), and where rows share that, one of them.
 
-    Texts are linked by any of FINGERPRINTS fingerprints of five-word shingles. Rows are told apart by doc_id and text, so no text is lost where
-    rows share an id.
+    Rows are told apart by doc_id and text, so no text is lost where rows share an id.
     """
-    found = near_duplicates(docs, shingle=STAGE_SHINGLE, count=FINGERPRINTS).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return one_of_each(docs, F.col("text").cast("string"), found.groupBy("root").agg(F.min(ROW_KEY).alias(ROW_KEY)))
+    kept = near_copies(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    return one_of_each(docs, F.col("text").cast("string"), kept.select(F.col("first.key").alias(ROW_KEY)))

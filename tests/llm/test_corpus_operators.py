@@ -133,16 +133,49 @@ def test_simhash(spark):
     assert len(set(least.values())) < len(rows) - 20
     assert simhash.near_duplicates(docs(spark, rows).limit(0)).count() == 0
     left = [r["doc_id"] for r in simhash.stage(spark, docs(spark, rows), "").collect()]
-    prints = {t: [x & (1 << 64) - 1 for x in simhash.fingerprint(t, simhash.STAGE_SHINGLE, simhash.FINGERPRINTS)] for _, t, _ in rows}
-    assert all(p[0] == print_of(t, 5) and len(set(p)) == (simhash.FINGERPRINTS if (t or "").strip() else 1) for t, p in prints.items())
-    group = {t: t for t in prints}
-    while True:
-        again = {t: min((group[u] for u in prints if any((a ^ b).bit_count() <= 4 for a, b in zip(prints[t], prints[u]))), key=str) for t in prints}
-        if again == group:
-            break
-        group = again
+    group = alike_groups({t for _, t, _ in rows})
     first = {g: min((i for i, t, _ in rows if group[t] == g and i is not None), default=None) for g in group.values()}
-    assert Counter(left) == Counter(first.values()) and len(left) < len(set(root.values()))
+    assert Counter(left) == Counter(first.values()) and 25 < len(left) < n
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def alike_groups(texts):
+    """The least text that links of texts with sets of shingles 0.8 alike lead to, for each text."""
+    sets = {t: shingles(t) for t in texts}
+    near = {t: [u for u in texts if jaccard(sets[t], sets[u]) >= 0.8] for t in texts}
+    root = {t: t for t in texts}
+    while (again := {t: min((root[u] for u in near[t]), key=lambda t: (t is None, t or "")) for t in texts}) != root:
+        root = again
+    return root
+
+
+def test_near_copies_are_exactly_alike(spark):
+    """Copies of one text that differ more from each other than from it, texts just below the bound, and a large group of copies."""
+    rng = np.random.default_rng(9)
+    draw = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    changed = lambda words, n: " ".join("x%d" % rng.integers(1 << 40) if i in set(rng.choice(len(words), n, replace=False).tolist()) else w for i, w in enumerate(words))
+    texts = []
+    for n in (2, 3, 5, 8, 14, 20):  # changed words of 300: similarities of 0.93 to 0.5
+        base = draw(300)
+        texts += [" ".join(base), *(changed(base, n) for _ in range(5))]
+    base = draw(200)
+    texts += [" ".join(base), *(changed(base, 2) for _ in range(300))]
+    texts += [None, "", "one", "ONE", "one two three four", "One two three four", " ".join(base) + " " + " ".join(draw(2000))]
+    got = {r["doc_id"]: r for r in simhash.near_copies(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert len(got) == len(texts)
+    group, sets = alike_groups(set(texts)), [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert sum(got[i]["root"] == got[j]["root"] for i, j in pairs) >= 0.98 * len(pairs)
+    for i, j in [(i, j) for i in range(len(texts)) for j in range(i)]:
+        assert group[texts[i]] == group[texts[j]] or got[i]["root"] != got[j]["root"]
 
 
 def test_trie_forest_links_all_that_brute_force_links():
@@ -449,12 +482,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for r in filter(lambda r: passes(r[1]), rows):
         groups[re.sub("[\x20\x09-\x0d]+", " ", r[1])].append(r)
     left = [min(g, key=order) for g in groups.values()]
-    prints = {r[1]: simhash.fingerprint(r[1], simhash.STAGE_SHINGLE, simhash.FINGERPRINTS) for r in left}
-    assert all(p[0] & (1 << 64) - 1 == print_of(t, 5) for t, p in prints.items())
-    linked = lambda t, u: any(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in zip(prints[t], prints[u]))
-    root = {t: t for t in prints}
-    while (again := {t: min(root[u] for u in prints if linked(t, u)) for t in prints}) != root:
-        root = again
+    root = alike_groups({r[1] for r in left})
     near = defaultdict(list)
     for r in left:
         near[root[r[1]]].append(r)
