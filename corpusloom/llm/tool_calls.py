@@ -42,12 +42,54 @@ def parts_of(schema) -> list:
     return one + list(schema.get("properties", {}).values()) + [x for k in ("anyOf", "oneOf", "allOf") for x in schema.get(k, ())]
 
 
+#: What a keyword's value has to be; a count is a whole number that is not negative.
+VALUES = {
+    "schema": "items not additionalProperties",
+    "schemas": "anyOf oneOf allOf",
+    "number": "minimum maximum exclusiveMinimum exclusiveMaximum multipleOf",
+    "count": "minLength maxLength minProperties maxProperties minItems maxItems",
+    "list": "enum",
+    "names": "required",
+    "object": "properties",
+    "string": "pattern",
+    "boolean": "uniqueItems",
+}
+FORM_OF = {keyword: form for form, keywords in VALUES.items() for keyword in keywords.split()}
+
+
+def has_form(value, form: str) -> bool:
+    if form == "schema":
+        return isinstance(value, (bool, dict))
+    if form == "schemas":
+        return isinstance(value, list) and bool(value) and all(isinstance(x, (bool, dict)) for x in value)
+    if form == "names":
+        return isinstance(value, list) and all(isinstance(x, str) for x in value)
+    if form == "count":
+        return is_number(value) and value >= 0 and value == int(value)
+    return is_number(value) if form == "number" else isinstance(value, {"list": list, **KINDS}[form])
+
+
 def check_schema(schema, at: str = "$") -> None:
-    """ValueError if a schema uses a keyword that fault() would pass over."""
+    """ValueError if a schema uses a keyword that fault() would pass over, or one with a value that is none for it."""
     if isinstance(schema, bool):
         return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: {schema!r} is not a schema")
     if unknown := set(schema) - KEYWORDS - REMARKS:
         raise ValueError(f"{at}: keywords {sorted(unknown)} are not supported")
+    if wrong := [k for k in schema if k in FORM_OF and not has_form(schema[k], FORM_OF[k])]:
+        raise ValueError(f"{at}: {wrong[0]} cannot be {schema[wrong[0]]!r}")
+    kinds = schema.get("type", [])
+    if unknown := [k for k in (kinds if isinstance(kinds, list) else [kinds]) if not isinstance(k, str) or k not in (*KINDS, "number", "integer")]:
+        raise ValueError(f"{at}: there is no type {unknown[0]!r}")
+    if schema.get("multipleOf", 1) <= 0:
+        raise ValueError(f"{at}: multipleOf has to be above 0")
+    try:
+        re.compile(schema.get("pattern", ""))
+    except re.error as e:
+        raise ValueError(f"{at}: pattern {schema['pattern']!r}: {e}") from e
+    if not all(isinstance(x, (bool, dict)) for x in schema.get("properties", {}).values()):
+        raise ValueError(f"{at}: properties have to be schemas")
     for i, part in enumerate(parts_of(schema)):
         check_schema(part, f"{at}/{i}")
 
