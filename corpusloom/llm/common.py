@@ -94,10 +94,18 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(" "), F.coalesce(text, F.lit("")))))
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """name, or name with as many underscores as make it another than all columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def one_of_each(docs: DataFrame, text: Column, kept: DataFrame) -> DataFrame:
     """The rows of docs whose key is in kept (ROW_KEY); of rows with one key, one of them.
 
     Rows with one key are thinned out before the shuffle, so no key brings many rows to a task; the join reuses its order.
     """
-    thinned = docs.withColumn(ROW_KEY, row_key(F.col("doc_id"), text)).dropDuplicates([ROW_KEY])
-    return thinned.join(kept.select(ROW_KEY), ROW_KEY, "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    key = free_name(ROW_KEY, docs.columns)
+    thinned = docs.withColumn(key, row_key(F.col("doc_id"), text)).dropDuplicates([key])
+    return thinned.join(kept.select(F.col(ROW_KEY).alias(key)), key, "left_semi").select(*(f"`{c}`" for c in docs.columns))

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACE, WORD, n_words
+from corpusloom.llm.common import SPACE, WORD, free_name, n_words
 from corpusloom.sources.scratch import written
 
 WEIGHTS = (3, 1, 2)
@@ -144,13 +144,13 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     The documents are written once with a number for each row, so that repeated rows keep what each of them is due. n_chars
     follows a cut text.
     """
-    tagged = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "tagged")
-    took = mixed(written(sizes(tagged, F.col(ROW)), "sizes")).where("taken > 0").select(ROW, F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    met = tagged.join(took, ROW)
-    times = F.filter(F.array(*(F.least(F.col("__size"), F.col("__taken") - k * F.col("__size")) for k in range(MOST))), lambda x: x > 0)
-    cut = met.withColumn("__part", F.explode(times))
-    partly = F.col("__part") < F.col("__size")
-    text = F.when(partly, first_words(F.col("text"), F.col("__part"))).otherwise(F.col("text"))
+    row, size, taken, due = (free_name(x, docs.columns) for x in (ROW, "__size", "__taken", "__due"))
+    tagged = written(docs.withColumn(row, F.monotonically_increasing_id()), "tagged")
+    took = mixed(written(sizes(tagged, F.col(row)), "sizes")).where("taken > 0").select(F.col(ROW).alias(row), F.col("size").alias(size), F.col("taken").alias(taken))
+    times = F.filter(F.array(*(F.least(F.col(size), F.col(taken) - k * F.col(size)) for k in range(MOST))), lambda x: x > 0)
+    cut = tagged.join(took, row).withColumn(due, F.explode(times))
+    partly = F.col(due) < F.col(size)
+    text = F.when(partly, first_words(F.col("text"), F.col(due))).otherwise(F.col("text"))
     changed = {"text": text}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(partly, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))

@@ -65,9 +65,8 @@ class Rollup:
     def _latest(self) -> int | None:
         return max(map(int, self._named("compact")), default=None)
 
-    def _compacted(self, among: list[str]) -> set[str]:
-        """Which of these batches the latest compaction holds."""
-        k = self._latest()
+    def _compacted(self, among: list[str], k: int | None) -> set[str]:
+        """Which of these batches compaction k holds."""
         if k is None or not among:
             return set()
         ids = self.spark.read.schema("batch string").parquet(f"{self.path}/compact={k}/ids")
@@ -89,7 +88,7 @@ class Rollup:
         return True
 
     def has(self, batch: str) -> bool:
-        return self._complete(self._folder(batch)) or bool(self._compacted([batch]))
+        return self._complete(self._folder(batch)) or bool(self._compacted([batch], self._latest()))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Store a batch of changes (source, lang, tokenizer, n_docs, n_tokens; signed). False if it was there already."""
@@ -103,8 +102,11 @@ class Rollup:
         return self._move(aside, folder)
 
     def totals(self) -> DataFrame:
-        batches, k = self._named("batch"), self._latest()
-        held = self._compacted(batches)
+        return self._sum(self._named("batch"), self._latest())
+
+    def _sum(self, batches: list[str], k: int | None) -> DataFrame:
+        """The totals of these batches and of compaction k, each batch once."""
+        held = self._compacted(batches, k)
         parts = [self._folder(b) for b in batches if b not in held] + ([] if k is None else [f"{self.path}/compact={k}/totals"])
         if not parts:
             return self.spark.createDataFrame([], CHANGE_SCHEMA)
@@ -112,10 +114,13 @@ class Rollup:
         return stored.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def compact(self) -> bool:
-        """The totals so far as one table, with the identifiers of all its batches. False if another compaction came first."""
+        """The totals so far as one table, with the identifiers of all its batches. False if another compaction came first.
+
+        The batches are listed once: one that is committed meanwhile is neither in the totals nor in the identifiers.
+        """
         batches, k = self._named("batch"), self._latest()
         aside = f"{self.path}/_aside-{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{aside}/totals")
+        self._sum(batches, k).write.parquet(f"{aside}/totals")
         ids = self.spark.createDataFrame([(b,) for b in batches], "batch string")
         if k is not None:
             ids = ids.union(self.spark.read.schema("batch string").parquet(f"{self.path}/compact={k}/ids"))
@@ -125,7 +130,7 @@ class Rollup:
     def vacuum(self) -> None:
         """Delete the folders of batches and compactions that the latest compaction holds. No one may be reading them."""
         k = self._latest()
-        gone = [self._folder(b) for b in self._compacted(self._named("batch"))] + [f"{self.path}/compact={n}" for n in self._named("compact") if int(n) != k]
+        gone = [self._folder(b) for b in self._compacted(self._named("batch"), k)] + [f"{self.path}/compact={n}" for n in self._named("compact") if int(n) != k]
         for folder in gone:
             path, files = self._file(folder)
             files.delete(path, True)

@@ -506,6 +506,47 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert got == want
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns that have the names of the stages' own helpers come through with their values."""
+    names = ["__row", "__row_key", "__size", "__taken", "__due", "__part", "__ROW_KEY_", "one", "key", "fp", "band", "row", "size", "digest", "x.y"]
+    rows = [(i, f"text {i} of some words {i} " * 9, "s", 3, *[100 * i + k for k in range(len(names))]) for i in range(6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    want = {r[0]: r[4:] for r in rows}
+    for stage in (exact_dedup.stage, simhash.stage, mixing.stage):
+        out = stage(spark, table, "")
+        assert out.columns == table.columns
+        left = out.collect()
+        assert {r[0] for r in left} <= set(want) and len(left) >= 6 and all(tuple(r)[4:] == want[r[0]] for r in left)
+
+
+def test_a_batch_that_lands_in_a_compaction_counts_once(spark, tmp_path, monkeypatch):
+    rollup = token_counts.Rollup(spark, str(tmp_path / "r"))
+    change = spark.createDataFrame([("s", "en", "words/1", 1, 10)], token_counts.CHANGE_SCHEMA)
+    assert rollup.commit("a", change)
+    add = rollup._sum
+
+    def late(batches, k):
+        assert rollup.commit("b", change)
+        return add(batches, k)
+
+    monkeypatch.setattr(rollup, "_sum", late)
+    assert rollup.compact()
+    monkeypatch.undo()
+    for again in range(2):
+        assert [tuple(r)[3:] for r in rollup.totals().collect()] == [(2, 20)] and rollup.has("a") and rollup.has("b") and not rollup.commit("b", change)
+        rollup.vacuum()
+        assert again or rollup.compact()
+
+
+BROKEN = [{"type": "text"}, {"type": ["string", 1]}, {"multipleOf": 0}, {"multipleOf": "2"}, {"pattern": "("}, {"pattern": 3}, {"items": [True]}, {"enum": "abc"}, {"required": "a"}, {"minLength": -1}, {"anyOf": []}, {"anyOf": {}}, {"properties": {"a": 1}}, {"uniqueItems": 1}, {"maximum": True}, [], {"not": {"type": "x"}}]
+
+
+@pytest.mark.parametrize("schema", BROKEN, ids=str)
+def test_broken_schemas_are_refused_before_the_job(schema):
+    with pytest.raises(ValueError, match=r"^\$"):
+        tool_calls.check_schema({"properties": {"a": schema}} if isinstance(schema, dict) else schema)
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
