@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import gematria, markup, refs, spelling, terms, vectors
 from corpusloom.functions import text as T
-from corpusloom.operators import chat, chunking, enrich, evaluation, retrieval
+from corpusloom.operators import chat, chunking, enrich, evaluation, retrieval, vector_index
 from corpusloom.operators import lines as L
 from corpusloom.operators.encoding import PASSAGE, QUERY, HashingEncoder, prefixed
 from corpusloom.operators.prefix import running_sum
@@ -449,6 +449,15 @@ def cosine_topk(spark, sf_dir):
     return hits(spark, sf_dir).select("q_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 4).alias("score"))
 
 
+@query
+def vector_index_topk(spark, sf_dir):
+    """The ten nearest vectors of each question, by the approximate index."""
+    corpus = corpus_vectors(spark, sf_dir)
+    index = vector_index.fit(corpus)
+    found = vector_index.search(asked(spark, sf_dir), corpus, vector_index.stored(corpus, index), index, 10, skip_same=True)
+    return found.select("q_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 4).alias("score"))
+
+
 @query
 def score_threshold(spark, sf_dir):
     return hits(spark, sf_dir).where(F.col("score") >= 0.2).select("q_id", F.col("rank").cast("long").alias("rank"), "chunk_id")

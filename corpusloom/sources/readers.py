@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.enrich import heading_map, require
 from corpusloom.sources import schemas
+from corpusloom.sources.matrix import MatrixSource
 from corpusloom.sources.scratch import written
 
 
@@ -72,10 +72,11 @@ def read_headings(spark: SparkSession, path: str) -> DataFrame:
     return heading_map(read_lines(spark, path))
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """Vectors of a numpy file, keyed by row. For files that fit the driver; larger ones belong in Parquet."""
-    rows = np.load(path)
-    return spark.createDataFrame(((i, row.astype(float).tolist()) for i, row in enumerate(rows)), schemas.VECTORS)
+def read_matrix(spark: SparkSession, path: str, part_bytes: int | None = None) -> DataFrame:
+    """Vectors of a numpy file, keyed by row; each task reads the bytes of its own rows."""
+    spark.dataSource.register(MatrixSource)
+    asked = spark.read.format("matrix")
+    return (asked.option("partBytes", part_bytes) if part_bytes else asked).load(path)
 
 
 def check_same_rows(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> None:
