@@ -46,19 +46,6 @@ def number_words(n: Column) -> Column:
     return F.when(n.between(2, 999) & below.isNotNull(), F.concat_ws(" ", hundreds, F.nullif(below, F.lit(""))))
 
 
-def words_of_number(n: int) -> str | None:
-    """number_words for one number."""
-    if not 2 <= n <= 999 or n % 100 == 1:
-        return None
-    rest = n % 100
-    parts = [HUNDREDS[n // 100 - 1]] if n >= 100 else []
-    if 10 <= rest < 20:
-        parts.append(TEENS[rest - 10])
-    else:
-        parts += [TENS[rest // 10 - 1]] * (rest >= 20) + [UNITS[rest % 10 - 1]] * (rest % 10 > 0)
-    return " ".join(parts)
-
-
 ABBREVIATION = f'[{LETTER}{MARK}]{{1,6}}"[{LETTER}{MARK}]{{1,3}}'
 SPELLED = f"([{LETTER}])([{MARK}]*)"
 

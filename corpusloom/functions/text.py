@@ -92,11 +92,3 @@ def truncated(text: Column, most: int) -> Column:
 
 def file_name(text: Column) -> Column:
     return F.replace(text, F.lit("/"), F.lit("_"))
-
-
-def token_f1(answer: Column, truth: Column) -> Column:
-    """F1 of the distinct lower-case words of two texts; 1 if both have none."""
-    a, b = (F.array_distinct(words(F.lower(x))) for x in (answer, truth))
-    both = F.size(F.array_intersect(a, b))
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * both / F.nullif(total, F.lit(0)))

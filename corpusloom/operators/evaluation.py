@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import token_f1
+from corpusloom.operators.answers import bleu, rouge_l, token_f1
 
 K_VALUES = (1, 3, 5, 10, 18, 30, 50)
 TARGET_K, TARGET_RECALL = 50, 0.85
@@ -129,12 +129,16 @@ class RetrievalEvaluator:
 
 
 class AnswerEvaluator:
-    """Mean token F1 of answers (q_id, given, answer)."""
+    """Scores of answers (q_id, given, answer): mean token F1 and ROUGE-L, and BLEU of all together."""
 
     name = "answers"
 
     def evaluate(self, answers: DataFrame) -> DataFrame:
-        return answers.agg(F.count("*").alias("n"), F.avg(token_f1(F.col("given"), F.col("answer"))).alias("f1"))
+        """One row: n, f1, rouge_l, bleu."""
+        means = token_f1(answers, ["q_id"]).agg(F.count("*").alias("n"), F.avg("f1").alias("f1"))
+        subsequences = rouge_l(answers, ["q_id"]).agg(F.avg("rouge_l").alias("rouge_l"))
+        one = F.lit(1).alias("one")
+        return means.select(one, "*").join(subsequences.select(one, "*"), "one").join(bleu(answers, ["q_id"]).select(one, "bleu"), "one").drop("one")
 
 
 EVALUATORS = {x.name: x for x in (RetrievalEvaluator, AnswerEvaluator)}

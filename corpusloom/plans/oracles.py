@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from corpusloom.functions import gematria
 from corpusloom.functions.text import WS
 
 #: The class of white space for regular expressions in SQL strings.
@@ -38,10 +37,17 @@ def _list(items) -> str:
     return "[" + ",".join(f"'{x}'" for x in items) + "]"
 
 
+# The words of numbers.
+UNITS = _list("אחד שניים שלושה ארבעה חמישה שישה שבעה שמונה תשעה".split())
+TEENS = _list(["עשרה", "אחד עשר", "שנים עשר", "שלושה עשר", "ארבעה עשר", "חמישה עשר", "שישה עשר", "שבעה עשר", "שמונה עשר", "תשעה עשר"])
+TENS = _list("עשר עשרים שלושים ארבעים חמישים ששים שבעים שמונים תשעים".split())
+HUNDREDS = _list(["מאה", "מאתיים", "שלוש מאות", "ארבע מאות", "חמש מאות", "שש מאות", "שבע מאות", "שמונה מאות", "תשע מאות"])
+
+
 def number_words(n: str) -> str:
     rest = f"({n}) % 100"
-    below = f"CASE WHEN {rest} = 0 THEN '' WHEN {rest} < 10 THEN {_list(gematria.UNITS)}[{rest}] WHEN {rest} < 20 THEN {_list(gematria.TEENS)}[{rest} - 9] ELSE concat_ws(' ', {_list(gematria.TENS)}[{rest} // 10], CASE WHEN {rest} % 10 > 0 THEN {_list(gematria.UNITS)}[{rest} % 10] END) END"
-    return f"CASE WHEN ({n}) BETWEEN 2 AND 999 AND {rest} <> 1 THEN concat_ws(' ', CASE WHEN ({n}) >= 100 THEN {_list(gematria.HUNDREDS)}[({n}) // 100] END, nullif({below}, '')) END"
+    below = f"CASE WHEN {rest} = 0 THEN '' WHEN {rest} < 10 THEN {UNITS}[{rest}] WHEN {rest} < 20 THEN {TEENS}[{rest} - 9] ELSE concat_ws(' ', {TENS}[{rest} // 10], CASE WHEN {rest} % 10 > 0 THEN {UNITS}[{rest} % 10] END) END"
+    return f"CASE WHEN ({n}) BETWEEN 2 AND 999 AND {rest} <> 1 THEN concat_ws(' ', CASE WHEN ({n}) >= 100 THEN {HUNDREDS}[({n}) // 100] END, nullif({below}, '')) END"
 
 
 def windows(keys: str, size: int, step: int) -> str:
@@ -61,6 +67,12 @@ HEADING_LINES = """hl AS (
   FROM (SELECT *, last_value(grp IGNORE NULLS) OVER (PARTITION BY nation ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS g FROM hl) WHERE section IS NOT NULL
 )"""
 
+ANSWERED = "p AS (SELECT x.conv_id, x.turn, x.text AS given, y.text AS answer FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn = y.turn + 1 AND x.role = 'assistant' AND y.role = 'user')"
+GRAMS = f"""w AS (SELECT conv_id, turn, true AS own, {WORDS('lower(given)')} AS w FROM p UNION ALL SELECT conv_id, turn, false, {WORDS('lower(answer)')} FROM p),
+g AS (SELECT conv_id, turn, own, n, unnest(list_transform(range(1, len(w) - n::INT + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram FROM w, (SELECT unnest(range(1, {{longest}} + 1)) AS n)),
+c AS (SELECT conv_id, turn, n, gram, count(*) FILTER (own) AS a, count(*) FILTER (NOT own) AS b FROM g GROUP BY ALL),
+o AS (SELECT conv_id, turn, n, sum(least(a, b))::BIGINT AS matched, sum(a)::BIGINT AS given, sum(b)::BIGINT AS "true" FROM c GROUP BY ALL)"""
+
 ORACLES: dict[str, str] = {
     "line_explode": f"WITH {LINES} SELECT doc_id, line_no, line FROM l",
     "line_classes": rf"""WITH {LINES}, s AS (SELECT *, {STRIP('line')} AS t FROM l)
@@ -149,6 +161,8 @@ SELECT *, len({WORDS('encoding_text')})::BIGINT AS word_count FROM e""",
     "mrr": f"WITH {HITS} SELECT count(*) AS n, round(sum(coalesce(1.0::DOUBLE / gt_rank, 0)) / count(*), 6) AS mrr FROM r",
     "target_gate": f"WITH {HITS}, c AS (SELECT count(*) FILTER (gt_rank <= 5) / count(*) AS recall FROM r) SELECT 5::BIGINT AS target_k, round(recall, 6) AS recall, 0.85::DOUBLE AS target_recall, recall >= 0.85 AS passed FROM c",
     "chunk_level_recall": f"WITH {HITS} SELECT k::BIGINT AS k, count(*) FILTER (chunk_rank <= k) AS hits, count(*) AS n, round(count(*) FILTER (chunk_rank <= k) / count(*), 6) AS recall FROM r, (SELECT unnest([1, 3, 5, 10]) AS k) GROUP BY k",
+    "paragraph_level_recall": f"""WITH {HITS}, pr AS (SELECT t.q_id, min(h.rank) AS rank FROM t LEFT JOIN hits h ON h.q_id = t.q_id AND h.section = t.section AND h.chunk_id // 100 % 4 = t.q_id // 100 % 4 GROUP BY t.q_id)
+SELECT k::BIGINT AS k, count(*) FILTER (rank <= k) AS hits, count(*) AS n, round(count(*) FILTER (rank <= k) / count(*), 6) AS recall FROM pr, (SELECT unnest([1, 3, 5, 10]) AS k) GROUP BY k""",
     "failure_analysis": f"WITH {HITS} SELECT section::BIGINT AS section, count(*) AS questions, count(*) FILTER (gt_rank IS NULL OR gt_rank > 3) AS missed FROM r GROUP BY section",
     "experiment_compare": f"WITH {HITS}, m AS (SELECT section::VARCHAR AS name, round(avg(coalesce(1.0::DOUBLE / gt_rank, 0)), 6) AS mrr FROM r GROUP BY section) SELECT name, mrr, row_number() OVER (ORDER BY mrr DESC, name) AS place FROM m",
     "max_questions": "SELECT * FROM benchmark ORDER BY item_id LIMIT 25",
@@ -156,6 +170,11 @@ SELECT *, len({WORDS('encoding_text')})::BIGINT AS word_count FROM e""",
 SELECT conv_id, turn, role, substr({STRIP('text')}, 1, 4000) AS text FROM a WHERE k <= 12 AND role IN ('user', 'assistant') AND {STRIP('text')} <> ''""",
     "chat_payload_clean": f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, role, substr({STRIP('text')}, 1, 100) AS content FROM a WHERE k <= 4 AND role IN ('user', 'assistant') AND {STRIP('text')} <> ''""",
-    "answer_f1": f"""WITH a AS (SELECT x.conv_id, x.turn, list_distinct({WORDS('lower(x.text)')}) AS a, list_distinct({WORDS('lower(y.text)')}) AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn = y.turn + 1 AND x.role = 'assistant' AND y.role = 'user')
-SELECT conv_id, turn, round(CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) END, 6) AS f1 FROM a""",
+    "answer_f1": f"""WITH {ANSWERED}, {GRAMS.replace('{longest}', '1')}
+SELECT p.conv_id, p.turn, round(coalesce(2.0::DOUBLE * o.matched / (o.given + o."true"), 1), 6) AS f1 FROM p LEFT JOIN o ON p.conv_id = o.conv_id AND p.turn = o.turn""",
+    "answer_overlaps": f"WITH {ANSWERED}, {GRAMS.replace('{longest}', '4')} SELECT * FROM o",
+    "answer_bleu": " UNION ALL ".join(f"""SELECT * FROM (WITH {ANSWERED.replace('AS given', given)}, {GRAMS.replace('{longest}', '4')},
+s AS (SELECT n, sum(matched) AS m, sum(given) AS g, sum("true") AS t FROM o GROUP BY n),
+x AS (SELECT max(g) FILTER (n = 1) AS g1, max(t) FILTER (n = 1) AS t1, exp(sum(ln(m / g)) / 4) AS mean FROM s), y AS (SELECT *, CASE WHEN g1 >= t1 THEN 1 ELSE exp(1 - t1 / g1) END AS brevity FROM x)
+SELECT '{name}' AS name, round(brevity * mean, 6) AS bleu, round(brevity, 6) AS brevity, g1::BIGINT AS given, t1::BIGINT AS "true" FROM y)""" for name, given in (("whole", "AS given"), ("half", f"AS old, array_to_string(({WORDS('y.text')})[1:greatest(len({WORDS('y.text')}) // 2, 1)], ' ') || ' and' AS given"))),
 }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import gematria, markup, refs, spelling, terms, vectors
 from corpusloom.functions import text as T
-from corpusloom.operators import chat, chunking, enrich, evaluation, retrieval, vector_index
+from corpusloom.operators import answers, chat, chunking, enrich, evaluation, retrieval, vector_index
 from corpusloom.operators import lines as L
 from corpusloom.operators.encoding import PASSAGE, QUERY, HashingEncoder, prefixed
 from corpusloom.operators.prefix import running_sum
@@ -495,6 +495,15 @@ def chunk_level_recall(spark, sf_dir):
     return evaluation.recall_at(found, K_VALUES).select(F.col("k").cast("long").alias("k"), "hits", "n", F.round("recall", 6).alias("recall"))
 
 
+@query
+def paragraph_level_recall(spark, sf_dir):
+    """Recall of the true paragraph: section and paragraph have to agree. Every hundredth vector is the same paragraph of its section, of four."""
+    paragraph = lambda key: F.pmod(F.floor(F.col(key) / 100), F.lit(4)).alias("paragraph")
+    found = hits(spark, sf_dir).select("*", paragraph("chunk_id"))
+    ranked = evaluation.ground_truth_ranks(found, truth(spark, sf_dir).select("*", paragraph("q_id")), unique=False, by=("section", "paragraph"))
+    return evaluation.recall_at(ranked, K_VALUES).select(F.col("k").cast("long").alias("k"), "hits", "n", F.round("recall", 6).alias("recall"))
+
+
 @query
 def failure_analysis(spark, sf_dir):
     return evaluation.failures(ranks(spark, sf_dir), truth(spark, sf_dir), 3).select(F.col("section").cast("long").alias("section"), "questions", "missed")
@@ -541,10 +550,37 @@ def chat_payload_clean(spark, sf_dir):
     return messages.select("conv_id", F.posexplode(cleaned).alias("place", "x")).select("conv_id", F.col("place").cast("long").alias("place"), "x.role", "x.content")
 
 
-@query
-def answer_f1(spark, sf_dir):
-    """Token F1 of each answer with the question before it."""
+def answered(spark, sf_dir) -> DataFrame:
+    """(conv_id, turn, given, answer): each turn of the assistant, with the question before it in place of the true answer."""
     turns = read(spark, sf_dir, "conversations")
-    questions = turns.where("role = 'user'").select(F.col("conv_id").alias("c"), (F.col("turn") + 1).alias("t"), F.col("text").alias("question"))
+    questions = turns.where("role = 'user'").select(F.col("conv_id").alias("c"), (F.col("turn") + 1).alias("t"), F.col("text").alias("answer"))
     met = turns.where("role = 'assistant'").join(questions, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")))
-    return met.select("conv_id", "turn", F.round(T.token_f1(F.col("text"), F.col("question")), 6).alias("f1"))
+    return met.select("conv_id", "turn", F.col("text").alias("given"), "answer")
+
+
+@query
+def answer_f1(spark, sf_dir):
+    """Token F1 of each answer with the question before it, repeats counted."""
+    return answers.token_f1(answered(spark, sf_dir), ["conv_id", "turn"]).select("conv_id", "turn", F.round("f1", 6).alias("f1"))
+
+
+@query
+def answer_overlaps(spark, sf_dir):
+    """Words, pairs, threes and fours that each answer has in common with the question before it."""
+    return answers.overlaps(answered(spark, sf_dir), ["conv_id", "turn"]).withColumn("n", F.col("n").cast("long"))
+
+
+@query
+def answer_bleu(spark, sf_dir):
+    """BLEU of all answers against questions, and of the answers cut to half of their question's words, whose brevity counts."""
+    whole = answered(spark, sf_dir)
+    half = F.array_join(F.slice(T.words(F.col("answer")), F.lit(1), F.greatest(F.floor(T.word_count(F.col("answer")) / 2), F.lit(1)).cast("int")), " ")
+    both = {"whole": whole, "half": whole.withColumn("given", F.concat_ws(" ", half, F.lit("and")))}
+    scores = [answers.bleu(df, ["conv_id", "turn"]).select(F.lit(name).alias("name"), F.round("bleu", 6).alias("bleu"), F.round("brevity", 6).alias("brevity"), "given", "true") for name, df in both.items()]
+    return scores[0].unionByName(scores[1])
+
+
+@query
+def answer_rouge(spark, sf_dir):
+    """ROUGE-L of each answer with the question before it."""
+    return answers.rouge_l(answered(spark, sf_dir), ["conv_id", "turn"]).select("conv_id", "turn", "common", F.round("rouge_l", 6).alias("rouge_l"))
