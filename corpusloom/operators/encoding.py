@@ -25,6 +25,10 @@ class Encoder:
     def builder(self) -> Callable[[], Callable[[list[str]], np.ndarray]]:
         raise NotImplementedError
 
+    def version(self) -> str:
+        """What tells the vectors of this encoder from those of others: its class and plain settings."""
+        return "/".join([type(self).__name__, *(f"{k}={v}" for k, v in sorted(vars(self).items()) if isinstance(v, (int, str)))])
+
     def encode(self, texts: DataFrame, key: str, text: str, prefix: str = "") -> DataFrame:
         build, kind = self.builder(), texts.schema[key].dataType.simpleString()
 

@@ -7,6 +7,7 @@ summed in a shuffle by blocks of terms. The driver holds narrow matrices only, w
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -131,6 +132,9 @@ class SemanticEncoder(Encoder):
     def __init__(self, weight: np.ndarray, basis: np.ndarray):
         self.weight, self.basis = weight, basis
 
+    def version(self) -> str:
+        return f"SemanticEncoder/{hashlib.sha256(self.weight.tobytes() + self.basis.tobytes()).hexdigest()}"
+
     @classmethod
     def fit(cls, docs: DataFrame, text: str, size: int = SIZE, terms: int = TERMS, turns: int = TURNS, extra: int = EXTRA) -> SemanticEncoder:
         """The first right singular vectors, size at most, of the weighted rows of all texts, each signed so that its largest part is positive."""

@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import gematria, markup, spelling, terms
 from corpusloom.functions.refs import ROOT
-from corpusloom.functions.text import final_cleanup, strip, tidy_line
+from corpusloom.functions.text import final_cleanup, join_fields, strip, tidy_line
 from corpusloom.operators import lines as L
+from corpusloom.operators.cache import CachedEncoder, ContentCache
 from corpusloom.operators.chunking import build_chunks
 from corpusloom.operators.encoding import PASSAGE, Encoder, HashingEncoder
-from corpusloom.operators.enrich import check_aligned, enriched, rule_totals, with_breadcrumb
+from corpusloom.operators.enrich import check_aligned, enriched, rule_totals, with_breadcrumb, without_heading
 from corpusloom.operators.evaluation import get_evaluator
 from corpusloom.operators.retrieval import get_retriever
 from corpusloom.sources.config import Config, limit_of, load, resolve_paths
@@ -30,6 +31,8 @@ from corpusloom.sources.readers import read_headings, read_lines, read_queries
 from corpusloom.sources.writers import replace_collection, write_table
 
 log = logging.getLogger(__name__)
+#: Fixed value: how many sections without a heading are named.
+MISSING_SHOWN = 30
 
 
 def normalized(text: Column) -> Column:
@@ -112,13 +115,25 @@ def ensure(spark: SparkSession, output: str, inputs: list[str], build: Callable[
     return spark.read.parquet(output)
 
 
+def with_enrichment(chunks: DataFrame, fields: tuple[str, ...], separator: str = " ") -> DataFrame:
+    """chunks with those of the fields that they have before the text; arrays are joined by spaces, null and empty ones skipped."""
+    there = [F.array_join(F.col(c), " ") if dict(chunks.dtypes)[c].startswith("array") else F.col(c).cast("string") for c in fields if c in chunks.columns]
+    return chunks.withColumn("text", join_fields(*there, F.col("text"), separator=separator)) if there else chunks
+
+
 def run_experiment(spark: SparkSession, config: Config, mode: str, encoder: Encoder | None = None, force: bool = False, max_questions=None) -> tuple[dict, str]:
-    """Chunk, embed, retrieve, evaluate: the result and its report. The folders hold corpus, chunks, vectors and questions."""
+    """Chunk, embed, retrieve, evaluate: the result and its report. The folders hold corpus, chunks, vectors and questions.
+
+    What is encoded of a chunk is config.enrich_fields, those that it has, before its text. With a folder for cache, a text
+    that was encoded before is not encoded again.
+    """
     paths, encoder = resolve_paths(config, mode), encoder or HashingEncoder()
+    if "cache" in paths:
+        encoder = CachedEncoder(encoder, ContentCache(spark, paths["cache"], encoder.version(), "array<double>"))
     fields = tuple(config.chunk_fields)
     windows = {"size": config.window_size, "overlap": config.window_overlap} if config.chunk_mode == "sliding" else {}
     chunks = ensure(spark, paths["chunks"], [paths["corpus"]], lambda: build_chunks(spark.read.parquet(paths["corpus"]), config.chunk_mode, fields=fields, **windows), force)
-    vectors = ensure(spark, paths["vectors"], [paths["chunks"]], lambda: encoder.encode(chunks, "chunk_id", "text", PASSAGE), force)
+    vectors = ensure(spark, paths["vectors"], [paths["chunks"]], lambda: encoder.encode(with_enrichment(chunks, config.enrich_fields, config.enrich_separator), "chunk_id", "text", PASSAGE), force)
     retriever = get_retriever(config.retriever, chunks, vectors, encoder, threshold=config.score_threshold)
     retriever.check()
     questions = read_queries(spark, paths["questions"])
@@ -162,7 +177,10 @@ def main(argv: list[str] | None = None) -> int:
             log_statistics(raw)
         write_table(enriched(build_corpus(raw), read_headings(spark, args.headings)), args.out)
     elif args.command == "breadcrumb":
-        write_table(with_breadcrumb(enriched(spark.read.parquet(args.corpus), read_headings(spark, args.headings)), ROOT), args.out)
+        corpus, headings = spark.read.parquet(args.corpus), read_headings(spark, args.headings)
+        if rows := without_heading(corpus, headings).select("section").distinct().orderBy("section").limit(MISSING_SHOWN).collect():
+            log.warning("sections without a heading, the first %d: %s", MISSING_SHOWN, [r["section"] for r in rows])
+        write_table(with_breadcrumb(enriched(corpus, headings), ROOT), args.out)
     elif args.command == "chunk":
         write_table(build_chunks(spark.read.parquet(args.corpus), args.mode), args.out)
     elif args.command == "embed":

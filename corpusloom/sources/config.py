@@ -12,6 +12,8 @@ from corpusloom.operators.evaluation import K_VALUES, TARGET_K, TARGET_RECALL
 class Config:
     chunk_mode: str = "paragraph"
     chunk_fields: tuple[str, ...] = ("text", "gloss")
+    enrich_fields: tuple[str, ...] = ()
+    enrich_separator: str = " "
     window_size: int = 200
     window_overlap: int = 50
     retriever: str = "vector"
