@@ -81,7 +81,10 @@ def unify_terms(text: Column) -> Column:
 
 
 def rule_counts(text: Column) -> Column:
-    """array<struct<rule, n>>: how often each rule fires in a text, one after another. The rules are data here, so the expression stays small."""
+    """array<struct<rule, n>>: how often each rule fires in a text, one after another. The rules are data here, so the expression stays small.
+
+    First how often the name is written in full, and how often it stays as a number; last, references of all kinds together.
+    """
     kind = "struct<rule:string,pattern:string,to:string,signs:array<string>>"
     given = F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(pattern).alias("pattern"), F.lit(to).alias("to"), F.array(*map(F.lit, signs)).alias("signs")).cast(kind) for name, pattern, to, signs in rules()))
     state = "struct<text:string,counts:array<struct<rule:string,n:bigint>>>"
@@ -92,5 +95,14 @@ def rule_counts(text: Column) -> Column:
         changed = F.when(there, F.regexp_replace(acc["text"], r["pattern"], r["to"])).otherwise(acc["text"])
         return F.struct(changed.alias("text"), F.array_append(acc["counts"], F.struct(r["rule"].alias("rule"), n.alias("n"))).alias("counts")).cast(state)
 
-    start = F.struct(name_in_context(F.coalesce(text, F.lit(""))).alias("text"), F.array().cast("array<struct<rule:string,n:bigint>>").alias("counts")).cast(state)
-    return F.aggregate(given, start, step)["counts"]
+    once = rf"{NB}ה'{NA}"
+    count = lambda rule, n: F.struct(F.lit(rule).alias("rule"), n.cast("long").alias("n"))
+
+    def begun(t: Column) -> Column:
+        named = name_in_context(t)
+        kept = F.regexp_count(named, F.lit(once))
+        return F.struct(named.alias("text"), F.array(count("name", F.regexp_count(t, F.lit(once)) - kept), count("name kept", kept)).alias("counts")).cast(state)
+
+    counts = F.aggregate(given, _once(F.coalesce(text, F.lit("")), begun), step)["counts"]
+    referred = lambda x: F.aggregate(F.filter(x, lambda r: r["rule"].startswith("reference ")), F.lit(0).cast("long"), lambda n, r: n + r["n"])
+    return _once(counts, lambda x: F.array_append(x, count("references", referred(x))))

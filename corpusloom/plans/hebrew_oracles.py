@@ -93,9 +93,17 @@ def chained() -> tuple[str, str]:
     return ",\n".join(ctes), held
 
 
+def names(x: str) -> str:
+    """How often the abbreviated name stands alone."""
+    once = lambda y: f"regexp_replace({y}, {quoted(B + 'ה' + chr(39) + A)}, '\\1{SIGN}\\2', 'g')"
+    return f"(length({once(once(x))}) - length(replace({once(once(x))}, '{SIGN}', '')))"
+
+
 TERMS, LAST = chained()
 UNIFIED = f"WITH {TERMS} SELECT doc_id, line_no, regexp_replace(regexp_replace(x, '  +', ' ', 'g'), '^ +| +$', '', 'g') AS line FROM {LAST}"
 FIRED = " UNION ALL ".join(f"SELECT {quoted(rule)} AS rule, sum(c{k}) AS n FROM {LAST}" for k, (rule, _, _) in enumerate(STEPS))
-COUNTS = f"WITH {TERMS}, named AS (SELECT unnest([{', '.join(map(quoted, ALL_RULES))}]) AS rule), fired AS ({FIRED}) SELECT rule, coalesce(fired.n, 0)::BIGINT AS n FROM named LEFT JOIN fired USING (rule)"
+FIRED += f" UNION ALL SELECT 'name', sum({names(with_terms('line'))} - {names(named(with_terms('line')))}) FROM l UNION ALL SELECT 'name kept', sum({names('x')}) FROM n"
+FIRED += f" UNION ALL SELECT 'references', {' + '.join(f'sum(c{k})' for k, (rule, _, _) in enumerate(STEPS) if rule.startswith('reference'))} FROM {LAST}"
+COUNTS = f"WITH {TERMS}, named AS (SELECT unnest([{', '.join(map(quoted, ['name', 'name kept', 'references', *ALL_RULES]))}]) AS rule), fired AS ({FIRED}) SELECT rule, coalesce(fired.n, 0)::BIGINT AS n FROM named LEFT JOIN fired USING (rule)"
 
 ORACLES = {"full_spelling": SPELLING, "term_unification": UNIFIED, "rule_counters": COUNTS}

@@ -94,6 +94,16 @@ def test_rule_counts_follow_the_rewrites(spark):
     found = apply(spark, [('הקב"ה הקב"ה',), ("ד' אמות",)], terms.rule_counts)
     assert {r["rule"]: r["n"] for r in found[0]}['stem הקב"ה'] == 2
     assert {r["rule"]: r["n"] for r in found[1]}["count ד'"] == 1
+    lines = [("אמר ה' לו סעיף ה' וגם ה' אמות",), ('טקסט ועיין בסימן מ"ז. <small> וע"ל מ"ז י"ג. </small> סוף כדלקמן סוף',), (None,)]
+    found = [{r["rule"]: r["n"] for r in x} for x in apply(spark, lines, terms.rule_counts)]
+    assert (found[0]["name"], found[0]["name kept"]) == (1, 2) and found[1]["references"] == sum(found[1][f"reference {k}"] for k in range(4)) == 3
+    assert set(found[2].values()) == {0}
+
+
+def test_whole_words_are_dropped(spark):
+    texts = [('דבר עי"ש סוף',), ('דבר וע"ש סוף',), ('דבר ועי"ש סוף',), ('עי"שב',)]
+    assert apply(spark, texts, terms.unify_terms) == ["דבר סוף", "דבר סוף", 'דבר ועי"ש סוף', 'עי"שב']
+    assert [{r["rule"]: r["n"] for r in x}['drop עי"ש'] for x in apply(spark, texts, terms.rule_counts)] == [1, 0, 0, 0]
 
 
 def test_marks(spark):
