@@ -24,4 +24,5 @@ ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op9_token_counts": token_counts.ORACLE,
+    "op11_spelling_variants": spelling_variants.ORACLE,
 }

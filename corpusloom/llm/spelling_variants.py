@@ -247,3 +247,32 @@ def variants(docs: DataFrame, times: int = TIMES) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+# CRC-32 is spelt out: eight steps make the table's entry of a byte, and a letter from U+00C0 on is two bytes, the first of which is 195.
+_STEP = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+ORACLE = rf"""
+WITH RECURSIVE made AS (SELECT b, 0 AS k, b::BIGINT AS c FROM range(256) t(b) UNION ALL SELECT b, k + 1, {_STEP.format("c")} FROM made WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS tab FROM made WHERE k = 8),
+runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{RUN}')) AS run FROM documents) GROUP BY ALL
+), bytes AS (
+  SELECT run, times, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS b
+  FROM runs WHERE length(run) >= {LEAST_LENGTH}
+), hashed AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, b::BIGINT[]), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc
+), spelt AS (
+  SELECT CASE WHEN h % {CHANGED} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM hashed
+), w AS (SELECT word, sum(times)::BIGINT AS n FROM spelt WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(times) >= {LEAST_COUNT}),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pairs AS (
+  SELECT a.word AS word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word
+), near AS (SELECT word, count(*) AS n_near, max(m) AS best_n FROM pairs GROUP BY word),
+best AS (SELECT word, n_near, best_n, min(other) AS other FROM near JOIN pairs USING (word) WHERE m = best_n GROUP BY ALL),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= {TIMES} * n THEN other END AS form, CASE WHEN best_n >= {TIMES} * n THEN best_n END AS form_n FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, 0 AS k FROM forms UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n::BIGINT AS form_n FROM forms JOIN ends USING (word)
+"""
