@@ -6,8 +6,8 @@ whole, whatever their length. Columns other than doc_id and text are carried alo
 ignored otherwise; an empty table gives an empty result.
 
 The stage takes shingles of five words and links texts whose sets of them are SIMILAR or more alike (Jaccard). One fingerprint links but a part of
-these, so the trie join gives some of the pairs that are looked at, and BANDS of smallest hashes give the others. No pair is a link before its sets are
-compared, and no text is dropped that is not so alike to a linked one; the README has the share of pairs that are found. Texts without words are alike.
+these, so the trie join gives some of the groups that are looked at, and BANDS of smallest hashes give the others. Of all texts that share a band, or whose
+fingerprints are joined, each two that are not joined by other links are compared. No pair is a link before its sets are compared, and no text is dropped that is not so alike to a linked one; the README has the share of pairs that are found. Texts without words are alike.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ROW_KEY, follow, join_groups, one_of_each, row_key
+from corpusloom.llm.common import HOT_SHARE, ROW_KEY, follow, join_groups, one_of_each, row_key
 from corpusloom.sources.scratch import written
 
 SHINGLE = 4
@@ -243,28 +243,45 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
     return join_groups(prints, member, "fp", "copies", n_rows).select("doc_id", "fp", "component_id")
 
 
-def band_pairs(prints: DataFrame) -> DataFrame:
-    """(one, other) of texts that share a band: each with the one that shares most of all in that band, and with its first and last by key.
+def shared_bands(prints: DataFrame) -> DataFrame:
+    """(band, key, n) of texts that share a band, n of them: rows of bands that only one text has are left out.
 
-    prints: (key, bands). Copies of one text all meet the text that they were made from, as it shares the most bands, so no group is paired with itself.
+    prints: (key, bands). Hot bands, fewer than HOT_SHARE, are named in the plan, so that their rows do not meet in one task.
     """
     spread = prints.select(F.explode("bands").alias("band"), "key")
     met = written(spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
-    shared = written(join_groups(spread, met, "band", "n", BANDS * prints.count()), "shared")
+    hot = met.where(F.col("n") * HOT_SHARE > BANDS * prints.count())
+    named = F.col("band").isin([r["band"] for r in hot.select("band").collect()])
+    return spread.where(named).join(F.broadcast(hot), "band").unionByName(spread.where(~named).join(met, "band"))
+
+
+def band_pairs(shared: DataFrame) -> DataFrame:
+    """(one, other) of texts that share a band: each with the one that shares most of all in that band, and with its first and last by key.
+
+    shared: the written rows of shared_bands(). Copies of one text all meet the text that they were made from, as it shares the most bands, so no group
+    is paired with itself; rest_links() compares those of a band whom these pairs leave apart.
+    """
     weight = shared.groupBy("key").agg(F.sum("n").alias("weight"))
     first = shared.join(weight, "key").groupBy("band").agg(F.max_by("key", F.struct("weight", "key")).alias("most"), F.min("key").alias("least"), F.max("key").alias("last"), F.count("*").alias("n"))
     met = join_groups(shared.drop("n"), first, "band", "n", shared.count())
     return met.select(F.explode(F.array_distinct(F.array("most", "least", "last"))).alias("one"), F.col("key").alias("other")).where("one <> other").distinct()
 
 
-def fingerprint_pairs(prints: DataFrame) -> DataFrame:
-    """(one, other) of texts (key, fp) whose fingerprints are the same or linked by the trie join; of texts with one such the least stands for all."""
+def fingerprint_pairs(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one, other) of texts (key, fp) whose fingerprints are the same or linked by the trie join; of texts with one such the least stands for all.
+
+    Also (g, key) of all texts whose fingerprints are joined by such links, g for each component.
+    """
     nodes = written(prints.groupBy("fp").agg(F.min("key").alias("one"), F.count("*").alias("n")), "nodes")
     n_nodes, n_rows = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     same = join_groups(prints.select("fp", F.col("key").alias("other")), nodes.where("n > 1"), "fp", "n", n_rows).select("one", "other")
     found = written(links(nodes.select(F.lit(0).alias("nth"), "fp"), n_nodes).select("a", "b"), "links")
     end = lambda of, at, name: follow(of.withColumnRenamed(at, "fp"), "fp", nodes.select("fp", F.col("one").alias(name))).drop("fp")
-    return same.union(end(end(found, "a", "one"), "b", "other").select("one", "other")).where("one <> other")
+    pairs = same.union(end(end(found, "a", "one"), "b", "other").select("one", "other")).where("one <> other")
+    root_of = components(found).toDF("fp", "g")
+    joined = written(nodes.select("fp", "n").join(root_of, "fp", "left").withColumn("g", F.coalesce("g", "fp")), "joined")
+    several = joined.join(joined.groupBy("g").agg(F.sum("n").alias("of")).where("of > 1"), "g").select("fp", "n", "g")
+    return pairs, join_groups(prints.select("fp", "key"), several, "fp", "n", n_rows).select("g", "key")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -309,15 +326,83 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFram
     return others.groupBy("deal").cogroup(sent.groupBy("base_deal")).applyInArrow(compare, "a binary, b binary")
 
 
+def cross_links(sides: list[tuple], least: float) -> list[tuple[bytes, bytes]]:
+    """(root, root) of the texts of two sides, each (roots, sets), that are least or more alike, as a spanning forest of their roots.
+
+    The sets of the second side are turned into lists of texts by shingle, from which a text's common shingles with all of them are counted at once.
+    """
+    (own, sets), (roots, others) = sides
+    name = {r: k for k, r in enumerate(dict.fromkeys([*own, *roots]))}
+    label, keys = np.arange(len(name)), list(name)
+    at, other_at = np.array([name[r] for r in own]), np.array([name[r] for r in roots])
+    size = np.array([len(x) for x in others])
+    flat = np.concatenate(others) if len(others) else np.zeros(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    of, flat = np.repeat(np.arange(len(others)), size)[order], flat[order]
+    out = []
+    for k, x in zip(at, sets):
+        low, high = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+        n = high - low
+        places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        both = np.bincount(of[places], minlength=len(others))
+        union = len(x) + size - both
+        near = np.flatnonzero((np.where(union > 0, both / np.maximum(union, 1), 1.0) >= least) & (label[other_at] != label[k]))
+        for j in other_at[near]:
+            if label[j] != label[k]:
+                out.append((keys[k], keys[j]))
+                label[label == label[j]] = label[k]
+    return out
+
+
+def rest_links(groups: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(a, b): roots that are linked by texts of one group (g, key, root) which are least or more alike, whatever pairs were looked at before.
+
+    Texts of one root are joined already, so only groups of several roots are open. Their texts are cut into slices, those of the largest root apart, and each
+    two slices of different texts meet in a task with their sets: no two slices of the largest root do, so a group of copies with few others is no square.
+    """
+    groups = written(groups, "groups")
+    by_root = groups.groupBy("g", "root").agg(F.count("*").alias("n"))
+    of = by_root.groupBy("g").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    cut = of.select("g", "n", F.col("top.root").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / SLICE).cast("int").alias("few"), F.ceil(F.col("top.n") / SLICE).cast("int").alias("many"))
+    open_ = join_groups(groups, written(cut, "open"), "g", "n", groups.count())
+    hashed, is_main = F.xxhash64("key"), F.col("root") == F.col("main")
+    sliced = open_.withColumn("own", F.when(is_main, F.col("few") + F.pmod(hashed, F.col("many"))).otherwise(F.pmod(hashed, F.col("few"))).cast("int"))
+    meets = F.sequence(F.lit(0), F.when(is_main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    cells = sliced.select("g", "key", "root", "own", F.explode(meets).alias("other"))
+    cells = cells.select("g", "key", "root", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+
+    def compare(found: pa.Table) -> pa.Table:
+        own, first, second = (found.column(c).to_pylist() for c in ("own", "first", "second"))
+        held = list(zip(own, found.column("root").to_pylist(), (np.frombuffer(s, np.uint64) for s in found.column("shingles").to_pylist())))
+        sides = [([r for o, r, _ in held if o == s], [x for o, _, x in held if o == s]) for s in (first[0], second[0])]
+        kept = cross_links(sides, least) if len({r for _, r, _ in held}) > 1 else []
+        return pa.table({"a": pa.array([a for a, _ in kept], pa.binary()), "b": pa.array([b for _, b in kept], pa.binary())})
+
+    return cells.join(sets, "key").groupBy("g", "first", "second").applyInArrow(compare, "a binary, b binary")
+
+
+def linked(prints: DataFrame, sets_of, least: float = SIMILAR) -> DataFrame:
+    """(key, root) of the written prints (key, fp, bands): root is the least key that links lead to. sets_of gives the sets of a table of keys.
+
+    Few pairs of each group are compared first, which joins most of its texts; then all those that are not joined.
+    """
+    shared = written(shared_bands(prints), "shared")
+    near, groups = fingerprint_pairs(prints)
+    pairs = written(band_pairs(shared).union(near).distinct(), "pairs")
+    groups = written(shared.select(F.col("band").alias("g"), "key").union(groups), "grouped")
+    sets = written(sets_of(groups.select("key").distinct()), "sets")
+    root_of = components(alike(pairs, sets, least)).withColumnRenamed("v", "key")
+    rooted = written(prints.select("key").join(root_of, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+    again = components(rest_links(groups.join(rooted, "key"), sets, least), "rest").toDF("root", "top")
+    return follow(rooted, "root", again).select("key", F.coalesce("top", "root").alias("root"))
+
+
 def near_copies(docs: DataFrame, least: float = SIMILAR, shingle: int = STAGE_SHINGLE) -> DataFrame:
     """(key, doc_id, root) of the distinct rows of docs, by id and text: key is their ROW_KEY, root the least key that links lead to."""
     prints = fingerprints(docs, shingle, bands=True).withColumnRenamed(ROW_KEY, "key").dropDuplicates(["key"])
     prints = written(prints, "fingerprints")
-    pairs = written(band_pairs(prints).union(fingerprint_pairs(prints)).distinct(), "pairs")
-    keys = written(pairs.select("one").union(pairs.select("other")).distinct().toDF("key"), "keys")
-    sets = written(shingle_sets(docs, keys, shingle), "sets")
-    root_of = components(alike(pairs, sets, least)).withColumnRenamed("v", "key")
-    return prints.select("key", "doc_id").join(root_of, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    found = linked(prints, lambda keys: shingle_sets(docs, written(keys, "keys"), shingle), least)
+    return prints.select("key", "doc_id").join(found, "key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import exact_dedup, mixing, simhash, token_counts, tool_calls
 from corpusloom.llm.common import numbered
+from corpusloom.sources.scratch import written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, fp int, gone_id int, size int"
 
@@ -553,3 +554,17 @@ def test_pipeline_of_nothing(spark, tmp_path):
     docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_of_a_band_are_linked_without_its_first_last_and_most(spark):
+    words = lambda k, n: set(range(k * 1000, k * 1000 + n))
+    # Two that are alike among others that are not; and in another band texts that are each like the next only, a chain.
+    band = [words(1, 100), words(5, 100), words(5, 90), *(words(k, 100) for k in range(10, 10 + 2 * simhash.SLICE)), words(2, 100)]
+    chain = [set(range(10**6 + 12 * k, 10**6 + 12 * k + 200)) for k in range(40)]
+    rows = [(k.to_bytes(4, "big"), np.array(sorted(x), np.uint64).tobytes(), (1 + k) << 40 | (k * 0x9E3779B9 & 0xFFFFFFFF), [7 if k < len(band) else 8]) for k, x in enumerate(band + chain)]
+    table = written(spark.createDataFrame(rows, "key binary, shingles binary, fp long, bands array<long>"), "test")
+    found = simhash.linked(table.select("key", "fp", "bands"), lambda keys: table.select("key", "shingles").join(keys, "key", "left_semi"))
+    groups = [set(r["keys"]) for r in found.groupBy("root").agg(F.collect_set("key").alias("keys")).collect()]
+    keys = [r[0] for r in rows]
+    assert sorted(len(g) for g in groups if len(g) > 1) == [2, len(chain)] and set(keys[1:3]) in groups and set(keys[len(band) :]) in groups
+    assert sum(map(len, groups)) == len(rows)
