@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.refs import label
-from corpusloom.functions.text import join_fields, words
+from corpusloom.functions.text import join_fields, word_count, words
 from corpusloom.operators.prefix import running_sum
 
 SIZE, OVERLAP = 200, 50
@@ -34,7 +34,8 @@ def _check(size: int, overlap: int) -> int:
 
 
 def _windows(parts: DataFrame, keys: list[str], size: int, step: int) -> DataFrame:
-    """Windows over parts (keys, section, ord, words, start): each part is cut once for each window that it touches."""
+    """Windows over parts (keys, section, ord, part, start): each part is split into words here, and cut once for each window that it touches."""
+    parts = parts.withColumn("words", words(F.col("part"))).drop("part")
     first = F.greatest(F.lit(0), F.ceil((F.col("start") - size + 1) / step)).cast("long")
     last = F.floor((F.col("start") + F.size("words") - 1) / step).cast("long")
     touched = parts.where(F.size("words") > 0).select("*", F.explode(F.sequence(first, last)).alias("window"))
@@ -52,8 +53,8 @@ def sliding_chunks(paragraphs: DataFrame, fields: tuple[str, ...] = ("text",), s
     one before holds all their words.
     """
     step = _check(size, overlap)
-    parts = paragraphs.select("section", "para_no", words(join_fields(*map(F.col, fields))).alias("words")).withColumn("n", F.size("words").cast("long"))
-    placed = running_sum(parts, "section", "n", "start", "para_no")
+    parts = paragraphs.select("section", "para_no", join_fields(*map(F.col, fields)).alias("part")).withColumn("n", word_count(F.col("part")))
+    placed = running_sum(parts, "section", "n", "start", "para_no")  # texts are moved whole: arrays of words take a multiple of their room
     found = _windows(placed, [], size, step)
     return found.select("window", F.col("owner").alias("section"), F.lit(None).cast("long").alias("paragraph"), F.concat(F.col("owner").cast("string"), F.lit(":"), F.col("window").cast("string")).alias("label"), "text", "n_words")
 
@@ -61,9 +62,9 @@ def sliding_chunks(paragraphs: DataFrame, fields: tuple[str, ...] = ("text",), s
 def section_windows(paragraphs: DataFrame, fields: tuple[str, ...] = ("text",), size: int = SIZE, overlap: int = 0) -> DataFrame:
     """Windows of size words that stay within a section."""
     step = _check(size, overlap)
-    parts = paragraphs.select("section", "para_no", words(join_fields(*map(F.col, fields))).alias("words"))
+    parts = paragraphs.select("section", "para_no", join_fields(*map(F.col, fields)).alias("part")).withColumn("n", word_count(F.col("part")))
     before = Window.partitionBy("section").orderBy("para_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.withColumn("start", F.coalesce(F.sum(F.size("words")).over(before), F.lit(0)).cast("long"))
+    placed = parts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
     return _windows(placed.withColumn("of", F.col("section")), ["of"], size, step).select(F.col("of").alias("section"), "window", "text", "n_words")
 
 

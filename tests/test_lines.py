@@ -272,3 +272,19 @@ def test_listings_and_saved_results(spark, tmp_path):
     for name, score in (("one", 0.2), ("two", 0.7)):
         (tmp_path / f"{name}.json").write_text('{"metrics": {"mrr": %s, "n_total": 3, "recall_rate": {"1": 0.5}}}' % score)
     assert [(r["place"], r["name"]) for r in evaluation.compare_saved(spark, str(tmp_path)).orderBy("place").collect()] == [(1, "two"), (2, "one")]
+
+
+def test_citations_fold_no_tokens_in_the_plan(spark):
+    df = spark.createDataFrame([("א<small>ב<small>(ג)</small></small>",), (None,)], "a string")
+    df = df.select(markup.nested_citations(F.col("a")).alias("x"), markup.keep_glosses(F.col("a")).alias("y"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r["x"]["line"], len(r["x"]["audit"]), r["y"]["line"], r["y"]["dropped"]) for r in df.collect()]
+    assert "lambda" not in plan and got == [("א<small>ב</small>", 1, "א", 1), ("", 0, "", 0)]
+
+
+def test_sliding_windows_move_no_arrays_of_words(spark, monkeypatch):
+    moved = []
+    monkeypatch.setattr(chunking, "running_sum", lambda rows, *how: moved.append(rows.dtypes) or running_sum(rows, *how))
+    rows = spark.createDataFrame([(1, 1, "a b  c"), (1, 2, None), (2, 1, "d e")], "section long, para_no long, text string")
+    got = {r["window"]: r["text"] for r in chunking.sliding_chunks(rows, size=4, overlap=1).collect()}
+    assert got == {0: "a b c d", 1: "d e"} and not [t for _, t in moved[0] if t.startswith("array")]
