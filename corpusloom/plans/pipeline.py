@@ -28,6 +28,7 @@ from corpusloom.operators.evaluation import get_evaluator
 from corpusloom.operators.retrieval import get_retriever
 from corpusloom.sources.config import Config, limit_of, load, resolve_paths
 from corpusloom.sources.readers import read_headings, read_lines, read_queries
+from corpusloom.sources.scratch import written
 from corpusloom.sources.writers import replace_collection, write_table
 
 log = logging.getLogger(__name__)
@@ -35,9 +36,15 @@ log = logging.getLogger(__name__)
 MISSING_SHOWN = 30
 
 
-def normalized(text: Column) -> Column:
-    """Content through all rules: numbers first, as they need the marks, then spelling, then terms."""
-    return final_cleanup(terms.unify_terms(spelling.full_spelling(gematria.expand_numbers(text))))
+def normalized(rows: DataFrame, text: Column) -> DataFrame:
+    """rows with out: content through all rules: numbers first, as they need the marks, then spelling, then terms.
+
+    Arrow functions stand in tables of their own, as Spark does not run them on or in expressions with lambdas.
+    """
+    cited = written(rows.withColumn("out", text), "cited")
+    counted = written(cited.withColumn("out", gematria.expand_numbers(F.col("out"))), "counted")
+    spelled = written(counted.withColumn("out", spelling.full_spelling(F.col("out"))), "spelled")
+    return spelled.withColumn("out", final_cleanup(terms.unify_terms(F.col("out"))))
 
 
 def raw_paragraphs(raw: DataFrame) -> DataFrame:
@@ -49,7 +56,7 @@ def clean_paragraphs(raw: DataFrame) -> DataFrame:
     """(doc, section_ord, section, para_no, line): the paragraphs of the lines once all rules have run on them."""
     line = F.col("line")
     cited = markup.keep_glosses(markup.drop_nested_citations(line))["line"]
-    processed = L.basic_fixes(raw).withColumn("line", F.when(L.is_passed_through(line), line).otherwise(normalized(cited)))
+    processed = normalized(L.basic_fixes(raw), cited).withColumn("line", F.when(L.is_passed_through(line), line).otherwise(F.col("out"))).drop("out")
     return L.sections(processed).drop("line_no")
 
 
@@ -77,6 +84,7 @@ def build_statistics(raw: DataFrame) -> DataFrame:
     closed = merged.withColumn("closed", markup.close_parentheses(line)).withColumn("tidy", tidy_line(F.col("closed")))
     fixed = L.basic_fixes(raw)
     content = fixed.where(~L.is_passed_through(line)).withColumn("nested", markup.nested_citations(line)).withColumn("kept", markup.keep_glosses(F.col("nested.line")))
+    content = written(content, "content")
     dropped = F.size(F.filter("nested.audit", lambda x: x["action"] == "DROP"))
     tables = [
         ("fixes", raw.agg(count(strip(line) == markup.CLOSE).alias("orphans"), count(L.is_section(line)).alias("sections"), F.count("*").alias("lines"))),

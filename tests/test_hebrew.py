@@ -172,3 +172,9 @@ def test_headings_and_breadcrumbs(spark):
     crumbs = {r["section"]: (r["title"], r["breadcrumb"]) for r in with_breadcrumb(enriched(sections, found), refs.ROOT).collect()}
     assert crumbs == {1: ("דין השכמת הבוקר", "[הלכות הנהגת אדם בבוקר > דין השכמת הבוקר]"), 625: ("", "[הלכות יום הכיפורים]"), 626: ("", "[הלכות יום הכיפורים]"), 999: ("", "[אורח חיים]")}
     assert [r["section"] for r in without_heading(sections, found).collect()] == [999]
+
+
+def test_spelling_folds_no_letters_in_the_plan(spark):
+    df = spark.createDataFrame([("יִתְגַּבֵּר כַּאֲרִי",), (None,)], "a string").select(spelling.full_spelling(F.col("a")).alias("x"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and [r["x"] for r in df.collect()] == ["יתגבר כארי", ""]
