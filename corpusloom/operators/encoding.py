@@ -19,6 +19,13 @@ def prefixed(prefix: str, text: Column) -> Column:
     return F.concat(F.lit(prefix), F.coalesce(text, F.lit("")))
 
 
+def unit_vectors(part: np.ndarray) -> pa.Array:
+    """The rows of a matrix at unit length; rows of zeros stay."""
+    length = np.linalg.norm(part, axis=1, keepdims=True)
+    unit = np.divide(part, length, out=np.zeros_like(part), where=length > 0)
+    return pa.array(list(unit.astype(np.float64)), pa.list_(pa.float64()))
+
+
 class Encoder:
     """encode() gives (key, vector) for a table of texts. Subclasses give a function that a worker builds once."""
 
@@ -37,10 +44,7 @@ class Encoder:
             for batch in batches:
                 rows = batch.column(1).to_pylist()
                 for a in range(0, len(rows), BATCH * 32):
-                    part = encode(rows[a : a + BATCH * 32])
-                    length = np.linalg.norm(part, axis=1, keepdims=True)
-                    unit = np.divide(part, length, out=np.zeros_like(part), where=length > 0)
-                    vectors = pa.array(list(unit.astype(np.float64)), pa.list_(pa.float64()))
+                    vectors = unit_vectors(encode(rows[a : a + BATCH * 32]))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, BATCH * 32), vectors], names=[key, "vector"])
 
         return texts.select(key, prefixed(prefix, F.col(text)).alias("text")).mapInArrow(run, f"`{key}` {kind}, vector array<double>")

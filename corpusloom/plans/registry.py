@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import gematria, markup, refs, spelling, terms, vectors
 from corpusloom.functions import text as T
-from corpusloom.operators import answers, chat, chunking, enrich, evaluation, retrieval, vector_index
+from corpusloom.operators import answers, chat, chunking, enrich, evaluation, retrieval, semantic, vector_index
 from corpusloom.operators import lines as L
 from corpusloom.operators.encoding import PASSAGE, QUERY, HashingEncoder, prefixed
 from corpusloom.operators.prefix import running_sum
-from corpusloom.operators.semantic import SemanticEncoder
 from corpusloom.plans.hebrew_oracles import ORACLES as HEBREW_ORACLES
 from corpusloom.plans.oracles import ORACLES as PLAIN_ORACLES
 
@@ -536,10 +535,10 @@ def lexical_retrieval(spark, sf_dir):
 @query
 def semantic_retrieval(spark, sf_dir):
     """For every benchmark passage the ten documents that are nearest by singular vectors of all documents' terms."""
-    documents = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "chunk_id")
-    encoder = SemanticEncoder.fit(documents, "text")
+    counts = semantic.counted(read(spark, sf_dir, "documents"), "text", "doc_id")
+    encoder = semantic.SemanticEncoder.fit_counts(counts)
     questions = encoder.encode(read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "q_id"), "q_id", "text")
-    return retrieval.search(questions, encoder.encode(documents, "chunk_id", "text"), 10).select("q_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
+    return retrieval.search(questions, encoder.encode_counts(counts, "chunk_id"), 10).select("q_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
 
 
 # Chat

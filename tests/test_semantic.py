@@ -55,3 +55,46 @@ def test_few_texts(spark, texts):
     encoder = semantic.SemanticEncoder.fit(docs(spark, texts), "text", size=3, terms=64)
     rows = encoder.encode(docs(spark, [*texts, "one two", None]), "doc_id", "text").collect()
     assert len(rows) == len(texts) + 2 and len({len(r["vector"]) for r in rows}) == 1
+
+
+def test_texts_are_split_once(spark):
+    """Fitting and encoding read the counts of terms; each text is computed once, not once a pass."""
+    met = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    texts = [f"one two w{k % 7} v{k % 5} " * (k % 3) for k in range(90)] + [None]
+    read = docs(spark, texts).mapInArrow(seen, "doc_id long, text string")
+    counts = semantic.counted(read, "text", "doc_id", terms=256)
+    assert met.value == len(texts)
+    encoder = semantic.SemanticEncoder.fit_counts(counts, size=3, terms=256)
+    got = {r["chunk_id"]: r["vector"] for r in encoder.encode_counts(counts, "chunk_id").collect()}
+    assert met.value == len(texts)
+    semantic.SemanticEncoder.fit(read, "text", size=3, terms=256)
+    assert met.value == 2 * len(texts)
+    want = {r["doc_id"]: r["vector"] for r in encoder.encode(docs(spark, texts), "doc_id", "text").collect()}
+    assert got == want and len(got) == len(texts)
+
+
+def test_equal_texts_have_equal_vectors(spark):
+    """To the last bit, whatever stands beside them: ties of copies go to the smaller id."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(400)], 40)) for _ in range(100)]
+    texts = [texts[0] if k % 9 == 0 else t for k, t in enumerate(texts)]
+    counts = semantic.counted(docs(spark, texts), "text", "doc_id", terms=1024)
+    encoder = semantic.SemanticEncoder.fit_counts(counts, size=4, terms=1024)
+    assert len({tuple(r["vector"]) for r in encoder.encode_counts(counts, "chunk_id").where("chunk_id % 9 = 0").collect()}) == 1
+
+
+def test_sums_in_one_level_and_in_two(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(300)], 30)) for _ in range(200)]
+    counts = semantic.counted(docs(spark, texts), "text", terms=1024).repartition(6)
+    weight, narrow = semantic.term_weights(counts, 1024), rng.standard_normal((1024, 5))
+    one = semantic.passed(counts, 6, weight, narrow)
+    monkeypatch.setattr(semantic, "TASKS_ADDED", 3)
+    rows = dense(texts, 1024)[1]
+    assert np.allclose(one, rows.T @ (rows @ narrow)) and np.allclose(one, semantic.passed(counts, 6, weight, narrow))
